@@ -1,8 +1,8 @@
 r"""Line-first quality cleaning, in DataFrame functions only.
 
 Each line is tested by itself: a line fails when it lacks end punctuation, looks like
-navigation, is boilerplate, is mostly symbols, is all upper case, repeats an earlier line or is a
-few words said over and over. Failing lines are removed; a document that loses more than
+navigation, is boilerplate, is mostly symbols, is all upper case, repeats an earlier line or (in a
+text with repeated 3-word windows) is a few words said over and over. Failing lines are removed; a document that loses more than
 ``max_lost`` of its word characters is rejected. The document-level base test comes first:
 fewer than ``min_words`` words, or more than half of the words inside repeated 3-word windows.
 
@@ -24,59 +24,67 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 #: Lines ending like this are sentences.
 END = r"[.!?:;…\"')\]][\x20\x09-\x0D]*$"
-BOILERPLATE = r"(?i)(licensed under|under the [a-z0-9 .-]* licen[cs]e|all rights reserved|cookie policy|privacy policy|terms of (use|service)|subscribe to our|click here|sign in to|enable javascript|lorem ipsum)"
-NAVIGATION = r"( [|»›] [^|»›]*){2}"
+BOILERPLATE = r"(?i)\b(licensed under|under the [a-z0-9 .-]* licen[cs]e|all rights reserved|cookie policy|privacy policy|terms of (use|service)|subscribe to our|click here|sign in to|enable javascript|lorem ipsum)"
+NAVIGATION = r"( [|<>] [^|<>]*){2}"
 SYMBOLS = "#*$%&|<>"
+THREE_WORDS = r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){2}[^\x20\x09-\x0D]"
 #: A lower-case letter of the Latin blocks.
 LOWER = r"[a-zß-öø-ÿ]"
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+    """Words of a text that isn't null; trimming first leaves no empty strings to filter."""
+    trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
 
 
-def _repeat_words(words: Column, windows: Column) -> Column:
-    placed = F.array_sort(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+def _window_hashes(words: str) -> Column:
+    n = F.size(words)
+    at = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+    return F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), at)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _repeat_words(words: str, windows: str) -> Column:
+    """Words in repeated windows. Windows with different hashes differ; equal hashes are held against the words."""
+    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    same = lambda i, j: (F.get(words, i) == F.get(words, j)) & (F.get(words, i + 1) == F.get(words, j + 1)) & (F.get(words, i + 2) == F.get(words, j + 2))
 
     def covered(s: Column) -> Column:
-        last = F.size(s) - 1
-        again = F.filter(s, lambda x, j: ((j > 0) & (x["w"] == F.get(s, F.greatest(j - 1, F.lit(0)))["w"])) | ((j < last) & (x["w"] == F.get(s, F.least(j + 1, last))["w"])))
-        return F.size(F.array_distinct(F.flatten(F.transform(again, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
+        def pair(x: Column, j: Column) -> Column:
+            before = F.get(s, j - 1)
+            return F.when((x["h"] == before["h"]) & same(x["i"], before["i"]), F.array(x["i"], before["i"]))
+
+        again = F.array_distinct(F.flatten(F.array_compact(F.transform(s, pair))))
+        return F.size(F.array_distinct(F.flatten(F.transform(again, lambda i: F.array(i, i + 1, i + 2)))))
 
     # the one-element array binds the sorted windows to a name, so that they are sorted once
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(F.transform(F.array(placed), covered)[0])
 
 
-def _line_fails(line: Column) -> Column:
-    words = _words(line)
-
-    def test(w: Column) -> Column:
-        n = F.size(w)
-        chars = F.length(line)
-        symbols = chars - F.length(F.translate(line, SYMBOLS, ""))
-        return (
-            ((n >= 3) & ~line.rlike(END))
-            | line.rlike(NAVIGATION)
-            | line.rlike(BOILERPLATE)
-            | (symbols * 20 > chars)
-            | ((n >= 3) & ~line.rlike(LOWER) & line.rlike("[A-Z]"))
-            | ((n >= 10) & (F.size(F.array_distinct(w)) * 3 < n))
-        )
-
-    return F.transform(F.array(words), test)[0]
+def _line_fails(line: Column, symbols_in_text: Column, repeats_in_text: Column) -> Column:
+    long = line.rlike(THREE_WORDS)
+    symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
+    monotonous = F.transform(F.array(_words(line)), lambda w: (F.size(w) >= 10) & (F.size(F.array_distinct(w)) * 3 < F.size(w)))[0]
+    return (
+        (long & ~line.rlike(END))
+        | (long & ~line.rlike(LOWER) & line.rlike("[A-Z]"))
+        | ((symbols_in_text > 0) & (line.rlike(NAVIGATION) | (symbols * 20 > F.length(line))))
+        | ((repeats_in_text > 0) & monotonous)
+        | line.rlike(BOILERPLATE)
+    )
 
 
 def _scored(docs: DataFrame, text_col: str, min_words: int, max_lost: float) -> DataFrame:
     """``docs`` with the columns _lines, _good, _words and _q (a struct of the report's values)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     chars = lambda c: F.length(F.translate(c, " \t\n\x0b\x0c\r", ""))
-    df = docs.withColumn("_w", _words(text)).withColumn("_lines", F.split(text, "\n"))
+    df = docs.withColumn("_w", _words(text)).withColumn("_lines", F.split(text, "\n")).withColumn("_sym", F.length(text) - F.length(F.translate(text, SYMBOLS, "")))
     n = F.size("_w")
-    df = df.withColumn("_win", F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.concat_ws(" ", F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))).otherwise(F.array().cast("array<string>")))
+    df = df.withColumn("_win", _window_hashes("_w"))
     full = F.filter("_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.withColumn("_rep", _repeat_words(F.col("_w"), F.col("_win"))).withColumn("_full", full)
+    df = df.withColumn("_rep", _repeat_words("_w", "_win")).withColumn("_full", full)
     # the earliest of equal lines is tested, later ones fail as repeats
-    df = df.withColumn("_good", F.filter(F.array_distinct("_full"), lambda x: ~_line_fails(x)))
+    df = df.withColumn("_good", F.filter(F.array_distinct("_full"), lambda x: ~_line_fails(x, F.col("_sym"), F.col("_rep"))))
     n_words, total = n.cast("long"), chars(text).cast("long")
     failed = (n < min_words) | (F.lit(100) * F.col("_rep") > F.lit(50) * n)
     lost = total - F.coalesce(chars(F.array_join("_good", "")), F.lit(0))
@@ -86,7 +94,7 @@ def _scored(docs: DataFrame, text_col: str, min_words: int, max_lost: float) ->
         F.struct(
             n_words.alias("n_words"),
             total.alias("word_chars"),
-            (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            F.col("_sym").cast("long").alias("n_symbols"),
             (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long").alias("n_dup_lines"),
             F.col("_rep").cast("long").alias("n_repeat_words"),
             failed.alias("base_failed"),
@@ -119,13 +127,14 @@ win AS (SELECT rid, i, list_slice(w, i, i + 2) AS g FROM (SELECT rid, w, unnest(
 dup AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM win) WHERE c > 1),
 rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM dup) GROUP BY rid),
 lines AS (SELECT DISTINCT rid, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS lw FROM (SELECT rid, unnest(full_lines) AS x FROM e)),
-good AS (SELECT rid, sum(length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g'))) AS c FROM lines WHERE NOT (
+good AS (SELECT lines.rid, sum(length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g'))) AS c FROM lines LEFT JOIN rep ON rep.rid = lines.rid WHERE NOT (
     (len(lw) >= 3 AND NOT regexp_matches(x, '[.!?:;…"'')\]][\x20\x09-\x0D]*$'))
-    OR regexp_matches(x, '( [|»›] [^|»›]*){2}')
-    OR regexp_matches(x, '(?i)(licensed under|under the [a-z0-9 .-]* licen[cs]e|all rights reserved|cookie policy|privacy policy|terms of (use|service)|subscribe to our|click here|sign in to|enable javascript|lorem ipsum)')
-    OR length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) * 20 > length(x)
     OR (len(lw) >= 3 AND NOT regexp_matches(x, '[a-zß-öø-ÿ]') AND regexp_matches(x, '[A-Z]'))
-    OR (len(lw) >= 10 AND len(list_distinct(lw)) * 3 < len(lw))) GROUP BY rid),
+    OR regexp_matches(x, '( [|<>] [^|<>]*){2}')
+    OR length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) * 20 > length(x)
+    OR (coalesce(rep.n, 0) > 0 AND len(lw) >= 10 AND len(list_distinct(lw)) * 3 < len(lw))
+    OR regexp_matches(x, '(?i)\b(licensed under|under the [a-z0-9 .-]* licen[cs]e|all rights reserved|cookie policy|privacy policy|terms of (use|service)|subscribe to our|click here|sign in to|enable javascript|lorem ipsum)')
+    ) GROUP BY lines.rid),
 r AS (SELECT e.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(full_lines) - len(list_distinct(full_lines)) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, coalesce(c, 0) AS c FROM e LEFT JOIN rep USING (rid) LEFT JOIN good USING (rid))
