@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import decontaminate, line_dedup, quality_rules
+from loomtext.llm import decontaminate, line_dedup, quality_rules, simhash_dedup, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicate_report(_read(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_report(_read(spark, sf_dir, "documents"))
 
@@ -23,7 +27,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(_read(spark, sf_dir, "documents"))
 
 
-_QUERIES = (op1_decontaminate, op7_line_dedup, op8_quality_rules)
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(_read(spark, sf_dir, "documents"))
+
+
+_QUERIES = (op1_decontaminate, op4_simhash_dedup, op7_line_dedup, op8_quality_rules, op10_substring_dedup)
 
 
 def queries() -> dict:
@@ -31,4 +39,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_decontaminate": decontaminate.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op8_quality_rules": quality_rules.ORACLE}
+    return {"op1_decontaminate": decontaminate.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op8_quality_rules": quality_rules.ORACLE, "op10_substring_dedup": substring_dedup.ORACLE}
