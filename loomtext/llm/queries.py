@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import decontaminate, line_dedup, quality_rules, simhash_dedup, substring_dedup
+from loomtext.llm import decontaminate, line_dedup, packing, quality_rules, simhash_dedup, substring_dedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, _read(spark, sf_dir, "pages"))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicate_report(_read(spark, sf_dir, "documents"))
 
@@ -27,11 +31,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(_read(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(_read(spark, sf_dir, "documents"))
 
 
-_QUERIES = (op1_decontaminate, op4_simhash_dedup, op7_line_dedup, op8_quality_rules, op10_substring_dedup)
+_QUERIES = (op1_decontaminate, op3_warc, op4_simhash_dedup, op7_line_dedup, op8_quality_rules, op9_packing, op10_substring_dedup)
 
 
 def queries() -> dict:
@@ -39,4 +47,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_decontaminate": decontaminate.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op8_quality_rules": quality_rules.ORACLE, "op10_substring_dedup": substring_dedup.ORACLE}
+    return {"op1_decontaminate": decontaminate.ORACLE, "op3_warc": warc.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op8_quality_rules": quality_rules.ORACLE, "op10_substring_dedup": substring_dedup.ORACLE}
