@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import decontaminate, line_dedup, packing, quality_rules, simhash_dedup, substring_dedup, warc
+from loomtext.llm import decontaminate, line_dedup, packing, quality_classifier, quality_rules, secrets, simhash_dedup, substring_dedup, token_counts, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.recount(_read(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, _read(spark, sf_dir, "pages"))
 
@@ -23,6 +27,14 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicate_report(_read(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(_read(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_report(_read(spark, sf_dir, "documents"))
 
@@ -39,7 +51,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(_read(spark, sf_dir, "documents"))
 
 
-_QUERIES = (op1_decontaminate, op3_warc, op4_simhash_dedup, op7_line_dedup, op8_quality_rules, op9_packing, op10_substring_dedup)
+_QUERIES = (op1_decontaminate, op2_token_counts, op3_warc, op4_simhash_dedup, op5_quality_classifier, op6_secrets, op7_line_dedup, op8_quality_rules, op9_packing, op10_substring_dedup)
 
 
 def queries() -> dict:
