@@ -117,10 +117,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", bits:
     return np.frombuffer(bytes(got[0].weights), np.float32) if got else np.zeros(1 << bits, np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray, *, threshold: float = THRESHOLD, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, weights: np.ndarray, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    shared, bits = docs.sparkSession.sparkContext.broadcast(weights), len(weights).bit_length() - 1
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, table = shared.value, _Words()

@@ -111,13 +111,16 @@ def quality_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def clean_documents(docs: DataFrame, *, text_col: str = "text", min_words: int = MIN_WORDS, max_lost: float = MAX_LOST) -> DataFrame:
     """The documents that pass, with their failing lines removed; blank lines stay. All columns stay."""
     names = docs.columns
-    scored = _scored(docs.select(F.struct(*names).alias("_doc"), F.col(text_col).alias("_text")), "_text", min_words, max_lost).where("_q.kept")
-    good = F.col("_good")
-    kept = F.filter("_lines", lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | F.array_contains(good, x))
+    scored = _scored(docs.select(F.struct(*names).alias("_doc"), F.col(text_col).alias("_text")), "_text", min_words, max_lost)
+    blank = lambda x: ~x.rlike(r"[^\x20\x09-\x0D]")
+    scored = scored.withColumn("_left", F.filter("_lines", lambda x: blank(x) | F.array_contains("_good", x)))
     # of equal good lines the first stays
-    once = F.when(F.size("_full") == F.size(F.array_distinct("_full")), kept).otherwise(F.filter(kept, lambda x, i: ~x.rlike(r"[^\x20\x09-\x0D]") | (F.array_position(kept, x) == i + 1)))
-    text = F.array_join(once, "\n")
-    return scored.select(*[text.alias(c) if c == text_col else F.col(f"_doc.`{c}`").alias(c) for c in names])
+    once = F.filter("_left", lambda x, i: blank(x) | (F.array_position("_left", x) == i + 1))
+    scored = scored.withColumn("_once", F.when(F.size("_full") == F.size(F.array_distinct("_full")), F.col("_left")).otherwise(once))
+    # A filter would be pushed below the steps above with their expressions written out in it many times
+    # over; one on a column that isn't deterministic stays here.
+    scored = scored.withColumn("_nth", F.monotonically_increasing_id()).where("_q.kept and _nth >= 0")
+    return scored.select(*[F.array_join("_once", "\n").alias(c) if c == text_col else F.col(f"_doc.`{c}`").alias(c) for c in names])
 
 
 ORACLE = r"""
