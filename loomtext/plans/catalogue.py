@@ -2,10 +2,155 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loomtext.functions import formats, grams, kernels, phonetic, strings, unicode
+from loomtext.operators import chunking, diff, joins
 
-def oracle_sql() -> dict:
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _scalar(name: str, table: str, key: str, columns: dict, oracle: str | None) -> None:
+    """A query of one table: its key and computed columns."""
+    _QUERIES[name] = lambda spark, sf_dir: _read(spark, sf_dir, table).select(key, *[c().alias(n) for n, c in columns.items()])
+    if oracle:
+        _ORACLES[name] = f"SELECT {key}, {oracle} FROM {table}"
+
+
+def _query(oracle: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if oracle:
+            _ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+_c = F.col
+
+_scalar("pred_contains", "part", "p_partkey", {"has": lambda: F.contains("p_name", F.lit("a")), "starts": lambda: F.startswith("p_type", F.lit("S")), "ends": lambda: F.endswith("p_type", F.lit("L"))}, "contains(p_name, 'a') AS has, starts_with(p_type, 'S') AS starts, suffix(p_type, 'L') AS ends")
+_scalar("search_find", "part", "p_partkey", {"at": lambda: strings.find(_c("p_name"), "e"), "last": lambda: strings.rfind(_c("p_name"), "e"), "n": lambda: strings.count_matches(_c("p_name"), "e")}, "nullif(instr(p_name, 'e'), 0) - 1 AS at, CASE WHEN contains(p_name, 'e') THEN length(p_name) - instr(reverse(p_name), 'e') END AS last, CAST(length(p_name) - length(replace(p_name, 'e', '')) AS INT) AS n")
+_scalar("search_overlapping", "part", "p_partkey", {"at": lambda: F.array_join(strings.find_overlapping(_c("p_type"), "N"), ",")}, "array_to_string(list_filter(range(0, length(p_type)), lambda i: substr(p_type, CAST(i + 1 AS INT), 1) = 'N'), ',') AS at")
+_scalar("search_wildcard", "customer", "c_custkey", {"hit": lambda: strings.wildcard(_c("c_name"), "Cust*1?")}, "regexp_full_match(c_name, 'Cust.*1.', 's') AS hit")
+_scalar("str_trim", "customer", "c_custkey", {"t": lambda: strings.trim(F.concat(F.lit(" \t"), "c_name", F.lit("\n "))), "chars": lambda: strings.trim_chars(_c("c_name"), "C0123456789")}, "c_name AS t, trim(c_name, 'C0123456789') AS chars")
+_scalar("str_pad", "nation", "n_nationkey", {"l": lambda: strings.pad_left(_c("n_name"), 9, "*"), "r": lambda: strings.pad_right(_c("n_name"), 9, "*"), "m": lambda: strings.center(_c("n_name"), 12, "-")}, "CASE WHEN length(n_name) >= 9 THEN n_name ELSE lpad(n_name, 9, '*') END AS l, CASE WHEN length(n_name) >= 9 THEN n_name ELSE rpad(n_name, 9, '*') END AS r, CASE WHEN length(n_name) >= 12 THEN n_name ELSE repeat('-', CAST((12 - length(n_name)) // 2 AS INT)) || n_name || repeat('-', CAST(12 - length(n_name) - (12 - length(n_name)) // 2 AS INT)) END AS m")
+_scalar("str_slice", "part", "p_partkey", {"head": lambda: strings.take_scalars(_c("p_name"), 4), "tail": lambda: strings.drop_scalars(_c("p_name"), 4), "mid": lambda: strings.slice_scalars(_c("p_name"), 2, 5)}, "substr(p_name, 1, 4) AS head, substr(p_name, 5) AS tail, substr(p_name, 3, 3) AS mid")
+_scalar("str_split", "part", "p_partkey", {"parts": lambda: F.array_join(strings.split(_c("p_type"), " "), "|"), "n": lambda: F.size(strings.split_whitespace(_c("p_type"))), "head": lambda: strings.split_once(_c("p_type"), " ")["head"]}, "array_to_string(string_split(p_type, ' '), '|') AS parts, CAST(len(string_split(p_type, ' ')) AS INT) AS n, CASE WHEN contains(p_type, ' ') THEN split_part(p_type, ' ', 1) END AS head")
+_scalar("str_replace", "part", "p_partkey", {"every": lambda: strings.replace_all(_c("p_type"), "A", "<a>"), "first": lambda: strings.replace_first(_c("p_type"), "A", "<a>"), "mapped": lambda: strings.translate(_c("p_type"), "AEIOU", "aeiou")}, "replace(p_type, 'A', '<a>') AS every, regexp_replace(p_type, 'A', '<a>') AS first, translate(p_type, 'AEIOU', 'aeiou') AS mapped")
+_scalar("str_lengths", "documents", "doc_id", {"bytes": lambda: strings.byte_len(_c("text")), "scalars": lambda: strings.scalar_count(_c("text")), "clusters": lambda: strings.grapheme_count(_c("text"))}, "CAST(strlen(text) AS INT) AS bytes, CAST(length(text) AS INT) AS scalars, CAST(length_grapheme(text) AS INT) AS clusters")
+_scalar("str_case", "part", "p_partkey", {"lo": lambda: strings.to_lower_ascii(_c("p_type")), "up": lambda: strings.to_upper_ascii(_c("p_name")), "cap": lambda: strings.capitalize(_c("p_name"))}, "lower(p_type) AS lo, upper(p_name) AS up, upper(substr(p_name, 1, 1)) || substr(p_name, 2) AS cap")
+_scalar("str_lines", "documents", "doc_id", {"n": lambda: strings.lines_count(_c("text"))}, "CAST(len(string_split(text, chr(10))) - CASE WHEN text = '' OR suffix(text, chr(10)) THEN 1 ELSE 0 END AS INT) AS n")
+_scalar("ident_cases", "part", "p_partkey", {"snake": lambda: strings.to_case(_c("p_type"), "snake"), "kebab": lambda: strings.to_case(_c("p_type"), "kebab"), "slug": lambda: strings.slugify(_c("p_type"))}, "lower(replace(p_type, ' ', '_')) AS snake, lower(replace(p_type, ' ', '-')) AS kebab, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '-') AS slug")
+_scalar("norm_whitespace", "documents", "doc_id", {"t": lambda: F.sha2(strings.collapse_whitespace(_c("text")), 256)}, r"sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t")
+_scalar("norm_controls", "pages", "page_id", {"t": lambda: F.sha2(strings.strip_controls(_c("html")), 256)}, r"sha256(regexp_replace(html, '[\x00-\x1f\x7f-\x{9f}]', '', 'g')) AS t")
+_scalar("norm_diacritics", "documents", "doc_id", {"t": lambda: F.sha2(unicode.strip_diacritics(_c("text")), 256)}, "sha256(strip_accents(text)) AS t")
+_scalar("norm_nfc", "documents", "doc_id", {"t": lambda: F.sha2(unicode.nfc(_c("text")), 256)}, "sha256(nfc_normalize(text)) AS t")
+_scalar("norm_search_key", "documents", "doc_id", {"k": lambda: F.sha2(unicode.search_key(_c("text")), 256)}, None)
+_scalar("escape_html", "pages", "page_id", {"t": lambda: F.sha2(strings.escape_html(_c("html")), 256), "back": lambda: strings.unescape_html(strings.escape_html(_c("html"))) == _c("html")}, "sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS t, true AS back")
+_scalar("escape_uri", "pages", "page_id", {"t": lambda: strings.percent_encode(_c("url")), "back": lambda: strings.percent_decode(strings.percent_encode(_c("url")))}, "url_encode(url) AS t, url AS back")
+_scalar("escape_json", "pages", "page_id", {"t": lambda: F.get_json_object(F.concat(F.lit('{"v":"'), strings.escape_json(_c("html")), F.lit('"}')), "$.v") == _c("html")}, "true AS t")
+_scalar("escape_shell", "pages", "page_id", {"t": lambda: strings.shell_quote(_c("url"))}, r"CASE WHEN regexp_full_match(url, '[A-Za-z0-9_@%+=:,./-]+') THEN url ELSE '''' || replace(url, '''', '''\"''\"''') || '''' END AS t".replace('\\"', '"'))
+_scalar("escape_regex", "pages", "page_id", {"t": lambda: strings.escape_regex(_c("url"))}, r"regexp_replace(url, '([\\.+*?()|\[\]{}^$#&\-~])', '\\\1', 'g') AS t")
+_scalar("quote_render", "nation", "n_nationkey", {"q": lambda: strings.quote(_c("n_name")), "u": lambda: strings.unquote(strings.quote(_c("n_name"))), "r": lambda: strings.render("{{{name}}} in {region}", name=_c("n_name"), region=_c("n_regionkey"))}, "'\"' || n_name || '\"' AS q, n_name AS u, '{' || n_name || '} in ' || n_regionkey AS r")
+_scalar("script_detect", "documents", "doc_id", {"s": lambda: strings.classify_script(_c("text"))}, "CASE WHEN regexp_matches(text, '[A-Za-zÀ-ÿ]') THEN 'Latn' END AS s")
+_scalar("stats_entropy", "documents", "doc_id", {"h": lambda: F.round(grams.entropy(_c("text")), 6)}, "CAST(round((SELECT coalesce(entropy(ch), 0.0) FROM (SELECT unnest(string_split(text, '')) AS ch)), 6) AS DOUBLE) AS h")
+_scalar("stats_ratios", "documents", "doc_id", {"d": lambda: F.round(grams.class_ratio(_c("text"), "0-9"), 9), "p": lambda: F.round(grams.class_ratio(_c("text"), r"\p{P}"), 9)}, r"round(length(regexp_replace(text, '[^0-9]', '', 'g')) / length(text), 9) AS d, round(length(regexp_replace(text, '\P{P}', '', 'g')) / length(text), 9) AS p")
+_scalar("ngram_char", "part", "p_partkey", {"g": lambda: F.array_join(grams.char_ngrams(_c("p_name"), 3), "|")}, "array_to_string(list_transform(range(1, length(p_name) - 1), lambda i: substr(p_name, CAST(i AS INT), 3)), '|') AS g")
+_scalar("ngram_token", "documents", "doc_id", {"n": lambda: F.size(grams.token_ngrams(strings.split_whitespace(_c("text")), 2))}, r"CAST(greatest(len(regexp_extract_all(text, '\S+')) - 1, 0) AS INT) AS n")
+_scalar("phonetic_soundex", "nation", "n_nationkey", {"s": lambda: phonetic.soundex(_c("n_name")), "y": lambda: phonetic.nysiis(_c("n_name"))}, None)
+_scalar("format_numbers", "orders", "o_orderkey", {"d": lambda: formats.format_decimal(_c("o_totalprice"), 2, "de"), "leap": lambda: formats.is_leap(F.year("o_orderdate")), "dim": lambda: formats.days_in_month(_c("o_orderdate")), "wd": lambda: formats.iso_weekday(_c("o_orderdate"))}, "translate(format('{:,.2f}', o_totalprice), ',.', '.,') AS d, (year(o_orderdate) % 4 = 0 AND (year(o_orderdate) % 100 <> 0 OR year(o_orderdate) % 400 = 0)) AS leap, CAST(day(last_day(o_orderdate)) AS INT) AS dim, CAST(isodow(o_orderdate) AS INT) AS wd")
+_scalar("plural_rules", "lineitem", "l_orderkey", {"c": lambda: formats.plural_cardinal(_c("l_linenumber"), "ru"), "o": lambda: formats.plural_ordinal_en(_c("l_linenumber"))}, "CASE WHEN l_linenumber % 10 = 1 AND l_linenumber % 100 <> 11 THEN 'one' WHEN l_linenumber % 10 BETWEEN 2 AND 4 AND l_linenumber % 100 NOT BETWEEN 12 AND 14 THEN 'few' ELSE 'many' END AS c, CASE WHEN l_linenumber % 10 = 1 AND l_linenumber % 100 <> 11 THEN 'one' WHEN l_linenumber % 10 = 2 AND l_linenumber % 100 <> 12 THEN 'two' WHEN l_linenumber % 10 = 3 AND l_linenumber % 100 <> 13 THEN 'few' ELSE 'other' END AS o")
+
+_PAIRS = "(SELECT a.p_name AS x, b.p_name AS y FROM (SELECT DISTINCT p_name FROM part) a, (SELECT DISTINCT p_name FROM part) b)"
+
+
+def _name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of the part names, of which there are a few dozen at any size."""
+    names = _read(spark, sf_dir, "part").select("p_name").distinct()
+    return names.select(F.col("p_name").alias("x")).join(names.select(F.col("p_name").alias("y")), F.lit(True))
+
+
+def _pair(name: str, columns: dict, oracle: str | None) -> None:
+    _QUERIES[name] = lambda spark, sf_dir: _name_pairs(spark, sf_dir).select("x", "y", *[c().alias(n) for n, c in columns.items()])
+    if oracle:
+        _ORACLES[name] = f"SELECT x, y, {oracle} FROM {_PAIRS}"
+
+
+def _grams2(c: str):
+    return grams.char_ngrams(_c(c), 2)
+
+
+_G = "list_distinct(list_transform(range(1, length({0})), lambda i: substr({0}, CAST(i AS INT), 2)))"
+_gx, _gy = _G.format("x"), _G.format("y")
+_pair("dist_levenshtein", {"d": lambda: F.levenshtein("x", "y"), "within": lambda: F.levenshtein("x", "y", 5) >= 0}, "CAST(levenshtein(x, y) AS INT) AS d, levenshtein(x, y) <= 5 AS within")
+_pair("dist_hamming", {"d": lambda: grams.hamming(_c("x"), _c("y"))}, "CAST(CASE WHEN length(x) = length(y) THEN hamming(x, y) END AS INT) AS d")
+_pair("dist_damerau", {"d": lambda: kernels.damerau("x", "y")}, "CAST(damerau_levenshtein(x, y) AS INT) AS d")
+_pair("dist_osa", {"d": lambda: kernels.osa("x", "y")}, None)
+_pair("dist_lcs", {"n": lambda: kernels.lcs("x", "y")}, None)
+_pair("sim_jaro", {"s": lambda: F.round(kernels.jaro_sim("x", "y"), 9)}, "round(jaro_similarity(x, y), 9) AS s")
+_pair("sim_jaro_winkler", {"s": lambda: F.round(kernels.jaro_winkler_boosted_sim("x", "y"), 9)}, "round(jaro_winkler_similarity(x, y), 9) AS s")
+_pair("sim_sets", {"j": lambda: F.round(grams.jaccard(_grams2("x"), _grams2("y")), 9), "d": lambda: F.round(grams.dice(_grams2("x"), _grams2("y")), 9), "o": lambda: F.round(grams.overlap(_grams2("x"), _grams2("y")), 9)}, f"round(len(list_intersect({_gx}, {_gy})) / len(list_distinct({_gx} || {_gy})), 9) AS j, round(2 * len(list_intersect({_gx}, {_gy})) / (len({_gx}) + len({_gy})), 9) AS d, round(len(list_intersect({_gx}, {_gy})) / least(len({_gx}), len({_gy})), 9) AS o")
+_pair("align_scores", {"nw": lambda: kernels.nw_score("x", "y"), "sw": lambda: kernels.sw_score("x", "y")}, None)
+_pair("diff_words", {"n": lambda: F.size(F.filter(diff.word_diff(F.translate("x", " ", "\n"), F.translate("y", " ", "\n")), lambda e: e["op"] != "keep"))}, None)
+
+
+@_query(f"SELECT l.x AS l_id, r.x AS r_id, round(len(list_intersect(l.g, r.g)) / len(list_distinct(l.g || r.g)), 9) AS jaccard_sim FROM (SELECT DISTINCT p_name AS x, {_G.format('p_name')} AS g FROM part) l, (SELECT DISTINCT p_name AS x, {_G.format('p_name')} AS g FROM part) r WHERE len(list_intersect(l.g, r.g)) / len(list_distinct(l.g || r.g)) >= 0.4")
+def join_qgram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _read(spark, sf_dir, "part").select("p_name").distinct().select(F.col("p_name").alias("name"), grams.char_ngrams(F.col("p_name"), 2).alias("grams"))
+    return joins.jaccard_join(names, names, id_col="name", gram_col="grams", threshold=0.4).withColumn("jaccard_sim", F.round("jaccard_sim", 9))
+
+
+@_query("SELECT c.c_custkey AS l_id, s.s_suppkey AS r_id, CAST(levenshtein(substr(c_name, 10), substr(s_name, 10)) AS INT) AS lev_dist FROM customer c, supplier s WHERE levenshtein(substr(c_name, 10), substr(s_name, 10)) <= 1")
+def join_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.substring("c_name", F.lit(10), F.length("c_name")).alias("name"))
+    s = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.substring("s_name", F.lit(10), F.length("s_name")).alias("name"))
+    return joins.edit_join(c, s, id_col="id", text_col="name", distance=1)
+
+
+@_query("WITH n AS (SELECT doc_id, len(list_distinct(regexp_extract_all(text, '\\S+'))) AS k FROM documents) SELECT k, count(*) AS n FROM n GROUP BY k")
+def agg_distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _read(spark, sf_dir, "documents").select(F.size(F.array_distinct(strings.split_whitespace(_c("text")))).cast("long").alias("k"))
+    return d.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) GROUP BY ch")
+def agg_char_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select(F.explode(F.split("text", "")).alias("ch")).groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query()
+def sketch_minhash_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _read(spark, sf_dir, "documents").select("doc_id", F.array_distinct(grams.token_ngrams(strings.split_whitespace(F.lower("text")), 5)).alias("g"))
+    return d.select("doc_id", F.element_at(grams.minhash(F.col("g"), 4), 1).alias("m"))
+
+
+@_query()
+def chunk_fastcdc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.fastcdc(_read(spark, sf_dir, "documents"), id_col="doc_id", text_col="text", least=256, average=1024, most=4096)
+
+
+@_query()
+def split_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.split_texts(_read(spark, sf_dir, "documents"), chunking.split_recursive, size=512, id_col="doc_id", text_col="text")
+
+
+@_query()
+def split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.split_texts(_read(spark, sf_dir, "documents"), chunking.split_sentences, size=512, id_col="doc_id", text_col="text")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
