@@ -10,8 +10,8 @@ share an aligned anchor. Anchors found twice or more send their documents' posit
 step, which extends them to the windows that hold them, hashes these (64 bits), and ranks
 the holders of each hash.
 
-Scale: documents are dealt once into chunks of about ``chunk_bytes`` by a hash of id and text; this one
-exchange of the text serves all three passes. Anchors travel as (hash, chunk), one row per chunk however often
+Scale: documents are dealt once into chunks of about ``chunk_bytes`` by a hash of the text, salted for
+texts with many copies; this one exchange of the text serves all three passes. Anchors travel as (hash, chunk), one row per chunk however often
 it has them; windows as one row per chunk, the chunk's earliest, since later ones in the chunk are
 removed at once. So a passage in a third of all documents is one row per chunk, ranked by a
 window that spills. Only shared anchors and repeated windows travel back.
@@ -39,6 +39,8 @@ WINDOW = 20
 PERIOD = 13
 COVER = (0, 1, 3, 9)
 CHUNK_BYTES = 4 << 20
+SALT_COPIES = 64
+MOST_SALTED = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _KEPT_WORDS = 1 << 20
 
@@ -109,9 +111,11 @@ def _anchor_rows(key: tuple, table: pa.Table, anchor: int) -> pa.Table:
 
 
 def _window_rows(key: tuple, table: pa.Table, shared: pa.Table, window: int, anchor: int) -> pa.Table:
-    """Rows for the windows around shared anchors: the chunk's earliest holders (h, doc_id, start to
-    start), and the later ones, which are known to go (null h), as runs of starts."""
-    names = ["h", "chunk", "row", "doc_id", "start", "end"]
+    """Rows for the windows around shared anchors: the chunk's earliest holders (h, doc_id, at; more is
+    -1), and the later ones, which are known to go, as runs (first window, how many more).
+
+    ``at`` is the row in the chunk and the start. Rows leave in that order, which packs well."""
+    names = ["h", "doc_id", "chunk", "at", "more"]
     chunk = _Chunk(table)
     known = np.sort(shared["h"].to_numpy().view(np.uint64)) if shared.num_rows else np.empty(0, np.uint64)
     hs, rows, starts = [], [], []
@@ -145,17 +149,24 @@ def _window_rows(key: tuple, table: pa.Table, shared: pa.Table, window: int, anc
     cut = np.flatnonzero((lr[1:] != lr[:-1]) | (ls[1:] != ls[:-1] + 1)) + 1
     a = np.concatenate(([0], cut)).astype(np.int64) if len(ls) else np.empty(0, np.int64)
     z = np.concatenate((cut, [len(ls)])).astype(np.int64) - 1 if len(ls) else np.empty(0, np.int64)
-    out_row = np.concatenate((row[~late], lr[a])).astype(np.int32)
-    out_start = np.concatenate((start[~late], ls[a])).astype(np.int32)
-    out_end = np.concatenate((start[~late], ls[z])).astype(np.int32)
-    out_h = pa.concat_arrays([pa.array(h[~late].view(np.int64)), pa.nulls(len(a), pa.int64())])
-    ids = pa.array(chunk.ids, table.schema.field("doc_id").type).take(pa.array(out_row)) if len(out_row) else pa.array([], table.schema.field("doc_id").type)
-    return pa.table([out_h, pa.array(np.full(len(out_row), key[0].as_py(), np.int64)), pa.array(out_row), ids, pa.array(out_start), pa.array(out_end)], names=names)
+    fr, fs, fh = row[~late], start[~late], h[~late]
+    order = np.lexsort((fs, fr))
+    fr, fs, fh = fr[order], fs[order], fh[order]
+    out_row = np.concatenate((fr, lr[a])).astype(np.int64)
+    at = out_row << 32 | np.concatenate((fs, ls[a])).astype(np.int64)
+    more = np.concatenate((np.full(len(fr), -1), ls[z] - ls[a])).astype(np.int32)
+    # a run that only needs to get home is dealt by its place
+    out_h = np.concatenate((fh, _mixed(at[len(fr) :].view(np.uint64) + np.uint64(key[0].as_py())))).view(np.int64)
+    id_type = table.schema.field("doc_id").type
+    ids = pa.array(chunk.ids, id_type).take(pa.array(out_row)) if len(out_row) else pa.array([], id_type)
+    return pa.table([pa.array(out_h), ids, pa.array(np.full(len(out_row), key[0].as_py(), np.int64)), pa.array(at), pa.array(more)], names=names)
 
 
 def _kept_rows(table: pa.Table, removed: pa.Table, window: int, with_text: bool) -> pa.Table:
     chunk = _Chunk(table)
-    row, start, end = (removed[c].to_numpy() for c in ("row", "start", "end"))
+    at, more = removed["at"].to_numpy(), removed["more"].to_numpy()
+    row, start = at >> 32, at & 0xFFFFFFFF
+    end = start + np.maximum(more, 0)
     order = np.argsort(row, kind="stable")
     row, start, end = row[order], start[order], end[order]
     edges = np.searchsorted(row, np.arange(len(chunk.ids) + 1))
@@ -185,22 +196,27 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW, chunk_bytes: int =
     if anchor < 1:
         raise ValueError(f"window must be {PERIOD} words or more")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    chunks = max(1, -(-size // chunk_bytes))
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
+    key = F.xxhash64("text")
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
+    chunks = max(1, -(-total[0] // chunk_bytes))
+    # Copies of a text share a chunk, so their windows leave it once. Texts with more copies than ``many``
+    # are salted; as many > rows / MOST_SALTED, there are fewer than MOST_SALTED of them.
+    many = max(SALT_COPIES, -(-total[1] // MOST_SALTED))
+    salted = rows.groupBy(key.alias("of")).count().where(F.col("count") > many).select("of", F.ceil(F.col("count") / many).alias("salts"))
+    dealt = rows.withColumn("key", key).join(F.broadcast(salted), F.col("key") == F.col("of"), "left")
+    salt = F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1)))
+    dealt = dealt.select("doc_id", "text", F.pmod(F.xxhash64("key", salt), F.lit(chunks)).alias("chunk"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     anchors = dealt.groupBy("chunk").applyInArrow(lambda key, t: _anchor_rows(key, t, anchor), "h long, chunk long, n int")
     both = W.partitionBy("h")
     shared = anchors.withColumn("total", F.sum("n").over(both)).where("total > 1").select("chunk", "h")
 
-    schema = f"h long, chunk long, row int, doc_id {id_type}, start int, end int"
+    schema = f"h long, doc_id {id_type}, chunk long, at long, more int"
     windows = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(lambda key, t, s: _window_rows(key, t, s, window, anchor), schema)
-    # runs that are known to go only need to get home: they are dealt by chunk and row, not by their null hash
-    place = F.coalesce("h", F.xxhash64("chunk", "row", "start"))
-    rank = F.rank().over(W.partitionBy("place", "known").orderBy(F.col("doc_id").asc_nulls_last(), "start"))
-    ranked = windows.select(place.alias("place"), F.col("h").isNull().alias("known"), "chunk", "row", "doc_id", "start", "end").withColumn("rank", rank)
-    removed = ranked.where("known or rank > 1").select("chunk", "row", "start", "end")
+    known = F.col("more") >= 0
+    rank = F.rank().over(W.partitionBy("h", known).orderBy(F.col("doc_id").asc_nulls_last(), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))))
+    removed = windows.withColumn("rank", rank).where(known | (F.col("rank") > 1)).select("chunk", "at", "more")
 
     schema = f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string" + ", kept_text binary" * with_text
     return dealt.groupBy("chunk").cogroup(removed.groupBy("chunk")).applyInArrow(lambda key, t, r: _kept_rows(t, r, window, with_text), schema)
