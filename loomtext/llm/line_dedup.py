@@ -13,8 +13,8 @@ recurring keys are joined back, by a sort-merge join whose skewed key side adapt
 splits. The text is moved once, to meet the numbers of its dropped lines; documents without any
 are not held up by a hot key, since the join is on a row's own key.
 
-Edge cases: null text stays null and has no lines; lines with fewer than ``min_tokens`` tokens are
-never dropped; a template several times in one document counts once; rows that repeat a doc_id
+Edge cases: null text stays null and has no lines; lines with fewer than ``min_tokens`` tokens, or
+with over half of them variable, are never dropped; a template several times in one document counts once; rows that repeat a doc_id
 count as one document each, equal rows get equal answers; null ids rank after all others.
 """
 
@@ -35,7 +35,8 @@ VARIABLE = "<*>"
 
 def _template_keys(line: Column, min_tokens: int, depth: int, segments: int) -> Column:
     """Keys of the templates that a line belongs to, empty for short lines."""
-    masked = F.filter(F.split(F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", VARIABLE), SPACE), lambda t: t != "")
+    plain = F.btrim(F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", VARIABLE)).otherwise(line), F.lit(" \t\n\x0b\x0c\r"))
+    masked = F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, SPACE))
 
     def keys(t: Column) -> Column:
         n = F.size(t)
@@ -46,7 +47,7 @@ def _template_keys(line: Column, min_tokens: int, depth: int, segments: int) ->
             rest = F.concat(F.slice(t, F.lit(1), a), F.array(F.lit(VARIABLE)), F.slice(t, b + 1, n))
             out.append(F.xxhash64(F.lit(s + 1), n, F.array_join(rest, " ")))
         general = F.array(*out) if segments else F.array(out[0])
-        return F.when(n < min_tokens, F.array().cast("array<bigint>")).when(n < depth + 2 * max(segments, 1), F.array(out[0])).otherwise(general)
+        return F.when((n < min_tokens) | (F.size(F.array_remove(t, VARIABLE)) * 2 < n), F.array().cast("array<bigint>")).when(n < depth + 2 * max(segments, 1), F.array(out[0])).otherwise(general)
 
     return F.transform(F.array(masked), keys)[0]
 
@@ -96,7 +97,8 @@ def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
 
 ORACLE = r"""
 WITH l AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS x FROM documents WHERE text IS NOT NULL),
-t AS (SELECT doc_id, line, x, regexp_extract_all(regexp_replace(x, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[^\x20\x09-\x0D]+') AS w FROM l),
+t0 AS (SELECT doc_id, line, x, regexp_extract_all(regexp_replace(x, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[^\x20\x09-\x0D]+') AS w FROM l),
+t AS (SELECT * FROM t0 WHERE len(list_filter(w, lambda y: y <> '<*>')) * 2 >= len(w)),
 k AS (
   SELECT doc_id, line, '0 ' || len(w) || ' ' || array_to_string(w, ' ') AS key FROM t WHERE len(w) >= 4
   UNION ALL SELECT doc_id, line, '1 ' || len(w) || ' ' || array_to_string(list_slice(w, 1, 3) || ['<*>'] || list_slice(w, 3 + CAST(floor((len(w) - 3) / 2.0) AS INT) + 1, len(w)), ' ') FROM t WHERE len(w) >= 7
