@@ -116,29 +116,9 @@ def replicate(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return distinct.select("fp").mapInArrow(step, "block int, anchor long, fp long, home boolean")
 
 
-class _Forest:
-    """Union-find over what has been seen at one anchor."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def join(self, a: int, b: int) -> bool:
-        up = self.up
-        while (p := up.get(a, a)) != a:
-            up[a] = up.get(p, p)
-            a = p
-        while (p := up.get(b, b)) != b:
-            up[b] = up.get(p, p)
-            b = p
-        if a == b:
-            return False
-        up[max(a, b)] = min(a, b)
-        return True
-
-
 def _forest_edges(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     """Edges of a spanning forest of the links at each anchor; rows come sorted by anchor, homes first."""
-    key, homes, forest = None, np.empty(0, np.uint64), _Forest()
+    key, homes, label = None, np.empty(0, np.uint64), np.empty(0, np.int64)
     for batch in batches:
         block, anchor, chunk = (batch[c].to_numpy(zero_copy_only=False) for c in ("block", "anchor", "chunk"))
         fps = batch["fp"].to_numpy(zero_copy_only=False).view(np.uint64)
@@ -155,17 +135,27 @@ def _forest_edges(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator
             a, b = int(start[g]), int(start[g] + size[g])
             this = (block[a], anchor[a], chunk[a])
             if this != key:
-                key, homes, forest = this, np.empty(0, np.uint64), _Forest()
+                key, homes, label = this, np.empty(0, np.uint64), np.empty(0, np.int64)
             homes = np.concatenate((homes, fps[a:b][home[a:b]]))
+            label = np.concatenate((label, np.arange(len(label), len(homes))))  # the tree that each home is in
             for at in range(a, b, 1024):
                 part = fps[at : min(b, at + 1024)]
                 # homes come first and may follow in later batches, so a home is also held against later homes
                 near = np.bitwise_count(part[:, None] ^ homes[None, :]) <= threshold if len(homes) else np.zeros((len(part), 0), bool)
-                for i, j in zip(*np.nonzero(near), strict=True):
-                    x, y = int(part[i]), int(homes[j])
-                    if x != y and forest.join(x, y):
-                        us.append(x)
-                        vs.append(y)
+                for i in np.flatnonzero(near.any(axis=1)).tolist():
+                    hit = np.flatnonzero(near[i])
+                    trees = label[hit]
+                    if trees.min() == trees.max():
+                        # a home is in that tree already, a visitor joins it by one edge
+                        ends = [] if home[at + i] else hit[:1]
+                    else:
+                        found, first = np.unique(trees, return_index=True)
+                        label[np.isin(label, found)] = found[0]
+                        ends = hit[first]
+                    for j in ends:
+                        if part[i] != homes[j]:
+                            us.append(int(part[i]))
+                            vs.append(int(homes[j]))
         if us:
             yield pa.RecordBatch.from_arrays([pa.array(np.array(us, np.uint64).view(np.int64)), pa.array(np.array(vs, np.uint64).view(np.int64))], names=["u", "v"])
 
