@@ -54,11 +54,12 @@ def _template_keys(line: Column, min_tokens: int, depth: int, segments: int) ->
 
 def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, segments: int = SEGMENTS) -> DataFrame:
     """(_row, _drop): the key of a row, and the numbers of its lines that are dropped."""
-    lines = docs.select(
+    # filtered on the text: a filter on the keys would compute them a second time
+    lines = docs.where(F.col(text_col).isNotNull()).select(
         F.xxhash64(F.col(id_col), F.col(text_col)).alias("_row"),
         F.col(id_col).alias("_id"),
         F.transform(F.split(F.col(text_col), "\n"), lambda x: _template_keys(x, min_tokens, depth, segments)).alias("_keys"),
-    ).where("_keys is not null")
+    )
     lines = materialise(lines, "line-templates")
     counted = (
         lines.select("_id", F.explode(F.array_distinct(F.flatten("_keys"))).alias("_key"))
