@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.functions import formats, grams, kernels, phonetic, strings, unicode
+from loomtext.functions import alignment, formats, grams, kernels, phonetic, sketches, strings, unicode, wrapping
 from loomtext.operators import chunking, diff, joins
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +100,8 @@ _pair("sim_jaro", {"s": lambda: F.round(kernels.jaro_sim("x", "y"), 9)}, "round(
 _pair("sim_jaro_winkler", {"s": lambda: F.round(kernels.jaro_winkler_boosted_sim("x", "y"), 9)}, "round(jaro_winkler_similarity(x, y), 9) AS s")
 _pair("sim_sets", {"j": lambda: F.round(grams.jaccard(_grams2("x"), _grams2("y")), 9), "d": lambda: F.round(grams.dice(_grams2("x"), _grams2("y")), 9), "o": lambda: F.round(grams.overlap(_grams2("x"), _grams2("y")), 9)}, f"round(len(list_intersect({_gx}, {_gy})) / len(list_distinct({_gx} || {_gy})), 9) AS j, round(2 * len(list_intersect({_gx}, {_gy})) / (len({_gx}) + len({_gy})), 9) AS d, round(len(list_intersect({_gx}, {_gy})) / least(len({_gx}), len({_gy})), 9) AS o")
 _pair("align_scores", {"nw": lambda: kernels.nw_score("x", "y"), "sw": lambda: kernels.sw_score("x", "y")}, None)
+_pair("align_affine", {"nw": lambda: alignment.score_column(_c("x"), _c("y")), "sw": lambda: alignment.score_column(_c("x"), _c("y"), local=True)}, None)
+_pair("align_script", {"n": lambda: F.size(F.filter(alignment.align_column(_c("x"), _c("y"))["script"], lambda s: s["op"] != "keep"))}, None)
 _pair("diff_words", {"n": lambda: F.size(F.filter(diff.word_diff(F.translate("x", " ", "\n"), F.translate("y", " ", "\n")), lambda e: e["op"] != "keep"))}, None)
 
 
@@ -133,6 +135,17 @@ def sketch_minhash_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.element_at(grams.minhash(F.col("g"), 4), 1).alias("m"))
 
 
+@_query()
+def sketch_portable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _read(spark, sf_dir, "documents").select("doc_id", F.array_distinct(grams.token_ngrams(strings.split_whitespace(F.lower("text")), 5)).alias("g"))
+    return d.select("doc_id", sketches.one_permutation(_c("g"), 16).alias("o"), sketches.simhash(_c("g")).alias("s"))
+
+
+@_query()
+def wrap_reflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select("doc_id", F.size(wrapping.wrap(_c("text"), 72)).alias("n"), F.sha2(wrapping.reflow(_c("text"), 72), 256).alias("t"))
+
+
 @_query()
 def chunk_fastcdc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.fastcdc(_read(spark, sf_dir, "documents"), id_col="doc_id", text_col="text", least=256, average=1024, most=4096)
