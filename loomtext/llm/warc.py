@@ -34,6 +34,7 @@ from loomtext.session import materialise, scratch_dir
 
 MIN_REVISIT = 1000
 SPLIT_BYTES = 16 << 20
+MAX_TASKS = 100_000  # beyond it, a task reads several ranges
 MAGIC = b"\x1f\x8b\x08"
 _PIECE = 1 << 20
 _DATE = "2000-01-01T00:00:00Z"
@@ -176,7 +177,10 @@ _BATCH_BYTES = 16 << 20
 def read_archives(manifest: DataFrame, *, split_bytes: int = SPLIT_BYTES, with_payload: bool = True) -> DataFrame:
     """All records of the files of a manifest (path, bytes), read by byte ranges."""
     ranges = manifest.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
-    ranges = ranges.select("path", "start", F.least(F.col("start") + split_bytes, "bytes").alias("end")).repartition("path", "start")
+    ranges = ranges.select("path", "start", F.least(F.col("start") + split_bytes, "bytes").alias("end"))
+    # rows of ranges are tiny, so without a number adaptive execution would put them all in one task
+    tasks = manifest.agg(F.sum(F.greatest(F.ceil(F.col("bytes") / split_bytes), F.lit(1)))).first()[0] or 1
+    ranges = ranges.repartitionByRange(min(int(tasks), MAX_TASKS), "path", "start")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
