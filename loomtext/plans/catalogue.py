@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.functions import alignment, formats, grams, kernels, phonetic, sketches, strings, unicode, wrapping
-from loomtext.operators import chunking, diff, joins
+from loomtext.functions import alignment, collation, formats, grams, kernels, lsh, multisets, phonetic, sketches, strings, tokens, unicode, wrapping
+from loomtext.operators import chunking, diff, joins, nearest
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -141,6 +141,52 @@ def sketch_portable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", sketches.one_permutation(_c("g"), 16).alias("o"), sketches.simhash(_c("g")).alias("s"))
 
 
+_scalar("collate_keys", "customer", "c_custkey", {"ci": lambda: collation.ascii_ci_key(_c("c_name")), "nat": lambda: collation.natural_key(_c("c_name")), "de2": lambda: collation.din5007_key(_c("c_name"), 2), "lib": lambda: collation.library_key(_c("c_name"))}, "lower(c_name) AS ci, array_to_string(list_transform(regexp_extract_all(c_name, '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN '0' || lpad(CAST(length(CAST(CAST(x AS BIGINT) AS VARCHAR)) AS VARCHAR), 10, '0') || CAST(CAST(x AS BIGINT) AS VARCHAR) ELSE x END), '') AS nat, lower(c_name) AS de2, regexp_replace(lower(c_name), '([0-9])', '{\\1', 'g') AS lib")
+_scalar("token_limits", "part", "p_partkey", {"right": lambda: F.array_join(tokens.truncate(F.split("p_name", ""), 5), ""), "left": lambda: F.array_join(tokens.truncate(F.split("p_name", ""), 5, "left"), ""), "n": lambda: F.size(tokens.pad(F.transform(F.split("p_name", ""), F.ascii), 32, 0))}, "left(p_name, 5) AS \"right\", right(p_name, 5) AS \"left\", CAST(greatest(length(p_name), 32) AS INT) AS n")
+
+
+@_query(
+    "WITH a AS (SELECT p_partkey, x, count(*) AS n FROM (SELECT p_partkey, unnest(string_split(p_name, '')) AS x FROM part) GROUP BY ALL), b AS (SELECT p_partkey, x, count(*) AS n FROM (SELECT p_partkey, unnest(string_split(lower(p_type), '')) AS x FROM part) GROUP BY ALL) "
+    "SELECT p_partkey, CAST(sum(least(coalesce(a.n, 0), coalesce(b.n, 0))) AS BIGINT) AS shared, round(sum(least(coalesce(a.n, 0), coalesce(b.n, 0))) / sum(greatest(coalesce(a.n, 0), coalesce(b.n, 0))), 9) AS j, round(sum(coalesce(a.n, 0) * coalesce(b.n, 0)) / sqrt(sum(coalesce(a.n, 0) ** 2) * sum(coalesce(b.n, 0) ** 2)), 9) AS c FROM a FULL JOIN b USING (p_partkey, x) GROUP BY p_partkey"
+)
+def gram_multisets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda c: multisets.multiset(F.split(F.lower(c), ""))
+    p = _read(spark, sf_dir, "part").select("p_partkey", of("p_name").alias("a"), of("p_type").alias("b"))
+    a, b = _c("a"), _c("b")
+    return p.select("p_partkey", multisets.total_count(multisets.intersection_min(a, b)).alias("shared"), F.round(multisets.jaccard_multiset(a, b), 9).alias("j"), F.round(multisets.cosine(a, b), 9).alias("c"))
+
+
+@_query("SELECT doc_id AS id, count(*) AS grams, CAST(sum(n) AS BIGINT) AS total, round(sqrt(sum(n * n)), 6) AS norm FROM (SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\S+')) AS g FROM documents) GROUP BY ALL) GROUP BY doc_id")
+def gram_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _read(spark, sf_dir, "documents").select("doc_id", strings.split_whitespace(_c("text")).alias("g"))
+    n = multisets.gram_counts(d, id_col="doc_id", gram_col="g")
+    return n.groupBy("id").agg(F.count(F.lit(1)).alias("grams"), F.sum("n").alias("total"), F.round(F.sqrt(F.sum(_c("n") * _c("n"))), 6).alias("norm"))
+
+
+@_query(
+    "WITH p AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, round(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])), 6) AS dist FROM embeddings q, embeddings i WHERE q.vec_id % 100 = 0 AND q.vec_id <> i.vec_id) "
+    "SELECT query_id, item_id, dist, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, item_id) AS r FROM p) WHERE r <= 5"
+)
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _read(spark, sf_dir, "embeddings")
+    return nearest.nearest(items.where("vec_id % 100 = 0"), items, id_col="vec_id", vector_col="embedding", k=5)
+
+
+@_query()
+def sketch_p_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "embeddings")
+    dim = e.select(F.size("embedding").alias("n")).where("n > 0").first()
+    return e.select("vec_id", lsh.p_stable_bucket(_c("embedding"), dim.n if dim else 1, 4.0).alias("bucket"))
+
+
+@_query()
+def sketch_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _read(spark, sf_dir, "part").select("p_partkey", F.split("p_name", "").alias("g"))
+    n = multisets.gram_counts(p, id_col="p_partkey", gram_col="g")
+    w = n.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("gram", _c("n").cast("double")))).alias("w"))
+    return w.select(_c("id").alias("p_partkey"), lsh.weighted_minhash(_c("w"), 8).alias("s")).select("p_partkey", F.sort_array("s.key").alias("keys"))
+
+
 @_query()
 def wrap_reflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select("doc_id", F.size(wrapping.wrap(_c("text"), 72)).alias("n"), F.sha2(wrapping.reflow(_c("text"), 72), 256).alias("t"))
