@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.components import connected_components
+from loomtext.llm.shingle_dedup import drop_near_duplicates as drop_near_duplicates
 from loomtext.llm.text import lower_words
 from loomtext.session import materialise
 
@@ -189,15 +190,3 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, threshold: int =
 def near_duplicate_report(docs: DataFrame, **params: int) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits), component_id."""
     return near_duplicates(docs, **params).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **params: int) -> DataFrame:
-    """One document of each component, that with the smallest id; of rows repeating that id, one.
-
-    Rows without an id are all kept, since nothing tells them apart. Columns stay.
-    """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **params)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    named = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(id_col).alias("_id"))
-    kept = named.join(first, F.col("_id") == F.col("_keep"), "left_semi").dropDuplicates(["_id"])
-    return kept.unionAll(named.where("_id is null")).select("_doc.*")
