@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import regex
 import tiktoken
@@ -18,23 +18,23 @@ import tiktoken
 DEFAULT_MODEL = "byte_bpe_50k.json"
 KEPT_PRETOKENS = 1 << 20
 
-# Letters, numbers and white space of Latin-1; texts with other characters take the general pattern.
-_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
-_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-_GENERAL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+# Fixed value: the published pre-token pattern of byte-level BPE.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_GENERAL = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+# The same with the letters, numbers and white space of Latin-1 written out, for texts without other characters.
+_CLASSES = {r"[^\s\p{L}\p{N}]": "[^\t-\r \x85\xa0A-Za-zªµºÀ-ÖØ-öø-ÿ0-9²³¹¼½¾]", r"\p{L}": "[A-Za-zªµºÀ-ÖØ-öø-ÿ]", r"\p{N}": "[0-9²³¹¼½¾]", r"\s": "[\t-\r \x85\xa0]", r"\S": "[^\t-\r \x85\xa0]"}
+_LATIN = re.compile(reduce(lambda pattern, c: pattern.replace(*c), _CLASSES.items(), PATTERN))
 _BEYOND = re.compile("[^\x00-\xff]")
+#: The pattern looks at most this many characters past a pre-token's end.
+LOOK = 2
 
 
 def pretokens(text: str) -> list[str]:
     return (_GENERAL if _BEYOND.search(text) else _LATIN).findall(text)
 
 
-def pretokens_from(text: str, at: int):
-    """Match objects of the pre-tokens from position ``at``, which must be a pre-token's start."""
-    return (_GENERAL if _BEYOND.search(text) else _LATIN).finditer(text, at)
-
-
 def _byte_of_char() -> dict[str, int]:
+    """The published byte alphabet: printable bytes stand for themselves, the others follow from 256 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in set(plain)]
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
@@ -73,16 +73,38 @@ class _Table(dict):
         return value
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Tokens that the file adds beside the vocabulary's merges; in a text they are cut out before the pattern is applied."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens") or []
+    if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"{path}: added tokens that take white space or whole words aren't supported")
+    return {t["content"]: t["id"] for t in added}
+
+
 class Encoder:
-    def __init__(self, path: str | None = None, kept: int = KEPT_PRETOKENS) -> None:
-        piece = _core(resolve(path))._core_bpe.encode_single_piece
-        self.ids = piece
-        self._bytes = _Table(lambda t: array("I", piece(t.encode())).tobytes(), kept)
-        self._counts = _Table(lambda t: len(piece(t.encode())), kept)
+    """``with_added``: whether the strings of added tokens become their ids, as in the tokenizers library, or are ordinary text."""
+
+    def __init__(self, path: str | None = None, kept: int = KEPT_PRETOKENS, with_added: bool = True) -> None:
+        path = resolve(path)
+        piece = _core(path)._core_bpe.encode_single_piece
+        added = added_tokens(path) if with_added else {}
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        #: Characters on either side of a place that can bear on the pre-tokens there.
+        self.context = max([LOOK, *map(len, added)])
+        self.ids = lambda t: [added[t]] if t in added else piece(t.encode())
+        self._bytes = _Table(lambda t: array("I", self.ids(t)).tobytes(), kept)
+        self._counts = _Table(lambda t: len(self.ids(t)), kept)
+
+    def pretokens(self, text: str) -> list[str]:
+        if self._cut is None or not self._cut.search(text):
+            return pretokens(text)
+        parts = self._cut.split(text)  # every second part is an added token
+        return [t for i, part in enumerate(parts) for t in ([part] if i % 2 else pretokens(part))]
 
     def id_bytes(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        return b"".join(map(self._bytes.__getitem__, pretokens(text)))
+        return b"".join(map(self._bytes.__getitem__, self.pretokens(text)))
 
     def counts(self, parts: list[str]) -> list[int]:
         """Tokens of each pre-token."""
@@ -90,6 +112,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str | None = None) -> Encoder:
+def encoder(path: str | None = None, with_added: bool = True) -> Encoder:
     """This process's encoder."""
-    return Encoder(path)
+    return Encoder(path, with_added=with_added)

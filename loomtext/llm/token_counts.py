@@ -2,24 +2,28 @@
 
 A leaf is a run of pre-tokens with its length in characters and in tokens; inner nodes hold sums. An
 edit finds its leaves by descending the character sums, re-encodes from the leaf that holds the
-boundary context before the edit until a new pre-token boundary meets an old leaf boundary after it, and
-updates the sums on the leaves' paths. All other leaves keep their counts.
+boundary context before the edit until a pre-token ends at an old leaf boundary after it, and
+updates the sums on the leaves' paths. All other leaves keep their counts. Edits whose leaves touch are
+re-encoded together.
 
-A pre-token that ends two characters or more before an edit can't change: the pattern looks at most two
-characters past its end. After the edit, matching depends only on what follows, so the first shared
-boundary ends the work.
+A pre-token that ends ``context`` characters or more before an edit can't change: the pattern looks at most two
+characters past its end, and added tokens (cut out first) have at most ``context``. After the edit, matching
+depends only on what follows, so the first shared boundary ends the work.
 
 Scale: a tree belongs to one row (two arrays), so building and editing are maps without shuffles; edits
-come as an array on the document's row.
+come as an array on the document's row. Work on a row is linear in its text, its edits and its leaves.
 
 Edge cases: null text is the empty text with no leaves; null or empty edit lists change nothing; edits
-are in the positions of the text before any of them, must not overlap, and are applied from the last;
-bounds outside the text are clipped; repeated rows are answered each.
+are in the positions of the text before any of them; bounds outside the text are clipped, an end before its start is
+the start. An edit without a start or an end, or that overlaps one with a smaller (start, end) or equal ones
+earlier in the list, is left out; insertions at one place are applied in the list's order; a null text
+deletes. Repeated rows are answered each.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -29,7 +33,6 @@ from pyspark.sql import functions as F
 from loomtext.llm import bpe
 
 LEAF = 64
-CONTEXT = 2
 Edit = tuple[int, int, str]
 
 
@@ -50,7 +53,7 @@ class CountTree:
 
     @classmethod
     def of(cls, text: str, encoder: bpe.Encoder) -> CountTree:
-        parts = bpe.pretokens(text)
+        parts = encoder.pretokens(text)
         counts = encoder.counts(parts)
         cuts = range(0, len(parts), LEAF)
         return cls([sum(map(len, parts[i : i + LEAF])) for i in cuts], [sum(counts[i : i + LEAF]) for i in cuts])
@@ -85,70 +88,99 @@ class CountTree:
 
     def edit(self, text: str, edit: Edit, encoder: bpe.Encoder) -> tuple[str, int]:
         """Applies one edit; the new text, and how many pre-tokens were encoded."""
-        a, b = max(0, min(edit[0], len(text))), max(0, min(edit[1], len(text)))
-        b = max(a, b)
-        new = text[:a] + edit[2] + text[b:]
+        return self.edit_all(text, [edit], encoder)
+
+    def edit_all(self, text: str, edits: list[Edit], encoder: bpe.Encoder) -> tuple[str, int]:
+        """Applies edits in the positions of ``text``; the new text, and how many pre-tokens were encoded."""
+        edits = settled(edits, len(text))
         if not text:
-            self.__init__(*CountTree.of(new, encoder).leaf_arrays())
-            return new, len(bpe.pretokens(new))
-        first, start = self.find(max(0, a - CONTEXT))
-        shift = len(new) - len(text)
-        # old boundaries from the first leaf that starts at or after the edit's end
-        leaf, boundary = first, start
-        while leaf < self.leaves and boundary < b:
-            boundary += self.chars[self.size + leaf]
-            leaf += 1
-        parts: list[str] = []
-        at = start
-        for m in bpe.pretokens_from(new, start):
-            if at >= a + len(edit[2]):
-                while leaf < self.leaves and boundary + shift < at:
-                    boundary += self.chars[self.size + leaf]
+            new = "".join(e[2] for e in edits)
+            tree = CountTree.of(new, encoder)
+            self.leaves, self.size, self.chars, self.tokens = tree.leaves, tree.size, tree.chars, tree.tokens
+            return new, len(encoder.pretokens(new))
+        out, done, encoded, swaps, i = [], 0, 0, [], 0
+        while i < len(edits):
+            first, start = self.find(max(0, edits[i][0] - encoder.context))
+            leaf, end, taken, step, more = first, start, i, 1, 1
+            while True:
+                # leaves for all edits that reach into them, and ``more`` leaves where no boundary was shared
+                while leaf < self.leaves and (more or (taken < len(edits) and edits[taken][0] - encoder.context < end) or (taken and end < edits[taken - 1][1])):
+                    end += self.chars[self.size + leaf]
                     leaf += 1
-                if boundary + shift == at:
+                    more -= more > 0
+                    while taken < len(edits) and edits[taken][0] - encoder.context < end:
+                        taken += 1
+                new = _applied(text, start, end, edits[i:taken])
+                parts = encoder.pretokens(new + text[end : end + encoder.context])
+                at, n = 0, 0
+                while n < len(parts) and at < len(new):
+                    at += len(parts[n])
+                    n += 1
+                if at == len(new) or leaf == self.leaves:
                     break
-            parts.append(m[0])
-            at = m.end()
-        else:
-            leaf = self.leaves
-        counts = encoder.counts(parts)
-        if len(parts) > 4 * LEAF * max(1, leaf - first):  # too much for these leaves: build anew around it
-            chars, tokens = self.chars[self.size :][: self.leaves], self.tokens[self.size :][: self.leaves]
-            cuts = range(0, len(parts), LEAF)
-            self.__init__(
-                chars[:first] + [sum(map(len, parts[i : i + LEAF])) for i in cuts] + chars[leaf:],
-                tokens[:first] + [sum(counts[i : i + LEAF]) for i in cuts] + tokens[leaf:],
-            )
-            return new, len(parts)
-        if leaf == first:  # what came in ends before this leaf, which stays
-            node = first + self.size
-            self.set(first, self.chars[node] + sum(map(len, parts)), self.tokens[node] + sum(counts))
-            return new, len(parts)
-        slots = leaf - first
-        each = -(-len(parts) // slots) if parts else 0
-        for k in range(slots):
-            part = slice(k * each, (k + 1) * each)
-            self.set(first + k, sum(map(len, parts[part])), sum(counts[part]))
-        return new, len(parts)
-
-    def edit_all(self, text: str, edits: list[Edit], encoder: bpe.Encoder) -> tuple[str, int]:
-        encoded = 0
-        for edit in sorted(edits, reverse=True):
-            text, n = self.edit(text, edit, encoder)
-            encoded += n
-        return text, encoded
-
-
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+                more = step = 2 * step
+            parts = parts[:n]
+            encoded += len(parts)
+            swaps.append((first, leaf, parts))
+            out += [text[done:start], new]
+            done, i = end, taken
+        out.append(text[done:])
+        self._swap(swaps, encoder)
+        return "".join(out), encoded
+
+    def _swap(self, swaps: list[tuple[int, int, list[str]]], encoder: bpe.Encoder) -> None:
+        """Puts new pre-tokens in the place of leaves: on their paths, or in a new tree where there are too many for them."""
+        if all(len(parts) <= 4 * LEAF * (leaf - first) for first, leaf, parts in swaps):
+            for first, leaf, parts in swaps:
+                each = -(-len(parts) // (leaf - first))
+                for k in range(leaf - first):
+                    part = parts[k * each : (k + 1) * each]
+                    self.set(first + k, sum(map(len, part)), sum(encoder.counts(part)))
+            return
+        chars, tokens, at = [], [], 0
+        for first, leaf, parts in [*swaps, (self.leaves, self.leaves, [])]:
+            chars += self.chars[self.size + at : self.size + first]
+            tokens += self.tokens[self.size + at : self.size + first]
+            cuts = [parts[k : k + LEAF] for k in range(0, len(parts), LEAF)]
+            chars += [sum(map(len, part)) for part in cuts]
+            tokens += [sum(encoder.counts(part)) for part in cuts]
+            at = leaf
+        self.__init__(chars, tokens)
+
+
+def settled(edits: list[tuple[int | None, int | None, str | None]], size: int) -> list[Edit]:
+    """Edits inside a text of ``size`` characters, in order, without those that overlap an earlier one."""
+    out: list[Edit] = []
+    clipped = [(max(0, min(a, size)), max(0, min(a, size), min(b, size)), x or "") for a, b, x in edits if a is not None and b is not None]
+    for a, b, x in sorted(clipped, key=lambda e: e[:2]):
+        if not out or a >= out[-1][1]:
+            out.append((a, b, x))
+    return out
+
+
+def _applied(text: str, start: int, end: int, edits: list[Edit]) -> str:
+    """text[start:end] after edits inside it."""
+    out, at = [], start
+    for a, b, x in edits:
+        out += [text[at:a], x]
+        at = b
+    return "".join([*out, text[at:end]])
+
+
+_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _NUMBER = re.compile(r"(?<![0-9.])(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9]{9,19})(?![0-9.])")
 
 
 def redactions(text: str) -> list[Edit]:
     """Edits that put placeholders for mail addresses, network addresses and long numbers."""
-    out = [(m.start(), m.end(), "<EMAIL>") for m in _EMAIL.finditer(text)] if "@" in text else []
-    taken = [(s, e) for s, e, _ in out]
-    out += [(m.start(), m.end(), "<NUMBER>") for m in _NUMBER.finditer(text) if not any(s < m.end() and m.start() < e for s, e in taken)]
-    return sorted(out)
+    mails = [(m.start(), m.end(), "<EMAIL>") for m in _EMAIL.finditer(text)] if "@" in text else []
+    ends = [e for _, e, _ in mails]
+
+    def free(a: int, b: int) -> bool:
+        k = bisect_left(ends, a + 1)
+        return k == len(mails) or mails[k][0] >= b
+
+    return sorted(mails + [(m.start(), m.end(), "<NUMBER>") for m in _NUMBER.finditer(text) if free(m.start(), m.end())])
 
 
 _TREE = "leaf_chars array<int>, leaf_tokens array<int>, n_tokens long"
@@ -183,7 +215,7 @@ def apply_edits(trees: DataFrame, *, edits_col: str = "edits", model: str | None
             texts, chars, tokens, totals, encoded = [], [], [], [], []
             for row in batch.to_pylist():
                 tree = CountTree(row["leaf_chars"], row["leaf_tokens"])
-                edits = [tuple(e.values()) for e in row["edits"] or []]
+                edits = [(e["start"], e["end"], e["text"]) for e in row["edits"] or [] if e]
                 text, n = tree.edit_all(row["text"], edits, encoder)
                 c, t = tree.leaf_arrays()
                 texts.append(text)
