@@ -5,13 +5,15 @@ replaced by the two unpacked documents that fill the expanded gap most tightly,
 
 Scale: lengths are whole numbers up to the capacity, so the plan needs only how many pieces have each length.
 Equal bins are planned together, which makes the plan a bounded table (some thousand rows for 1024
-tokens, whatever the corpus) of (length, range of ranks, first sequence, offset). Pieces get their rank
-within their length from ``buckets`` hash buckets, so a length that a third of all pieces has is
-ranked by many tasks; bucket offsets are a table of capacity x buckets counts at most. Both tables have that
-proven bound and are broadcast; texts and ids are never shuffled.
+tokens, whatever the corpus) of (length, range of ranks, first sequence, offset). A full piece is a sequence by itself and
+isn't ranked. Other pieces get their rank within their length from hash buckets of about ``BUCKET_ROWS`` pieces, so a length that a
+third of all pieces has is ranked by many tasks. The tables of bucket starts (a row for each ``BUCKET_ROWS`` pieces, and
+``capacity`` more at most) and of the plan are sent to the tasks, which look ranks up by bisection. Texts are never
+shuffled, ids only if asked for.
 
 Edge cases: a null or empty text is its end token alone; longer documents are cut into full pieces, the
-first of which may be shorter; repeated rows are packed each; null ids are kept as they are.
+first of which may be shorter; strings of added tokens in a text become their ids, as in the tokenizers library;
+repeated rows are packed each; null ids are kept as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,16 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from loomtext.llm import bpe
 from loomtext.session import materialise
 
 CAPACITY = 1024
 END_ID = 2
-BUCKETS = 64
+BUCKET_ROWS = 1_000_000
 
 
 def _fill(sizes: list[int], free: dict[int, int], gap: int) -> list[int]:
@@ -83,7 +86,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list
         sizes = sorted(free)
         taken = _fill(sizes, free, capacity)
         gap = capacity - sum(taken)
-        if gap and len(taken) > 1:
+        if gap:
             used = Counter(taken)
             used[taken[-1]] -= 1
             if pair := _tighter_pair(sizes, free, used, taken[-1], taken[-1] + gap):
@@ -98,19 +101,18 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list
     return out
 
 
-def _slots(bins: list[tuple[list[int], int]]) -> pa.Table:
-    """(length, rank_from, rank_to, first sequence, offset) of every slot of the plan."""
+def _slots(bins: list[tuple[list[int], int]]) -> np.ndarray:
+    """Rows (length, first rank, first sequence, offset) of every slot of the plan, sorted."""
     rank: Counter[int] = Counter()
     rows, sequence = [], 0
     for sizes, times in bins:
         at = 0
         for s in sizes:
-            rows.append((s, rank[s], rank[s] + times, sequence, at))
+            rows.append((s, rank[s], sequence, at))
             rank[s] += times
             at += s
         sequence += times
-    columns = list(zip(*rows, strict=True)) or [[]] * 5
-    return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("slot_length", "rank_from", "rank_to", "first", "offset"), columns, strict=True)})
+    return np.array(sorted(rows), dtype=np.int64).reshape(-1, 4)
 
 
 def pieces(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID, model: str | None = None, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,23 +150,52 @@ def pieces(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID, m
     return rows.mapInArrow(step, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-def pack(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID, model: str | None = None, buckets: int = BUCKETS, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _buckets(lengths: pa.Table, bucket_rows: int) -> Column:
+    """The bucket of a piece: its length has as many as its pieces need."""
+    some = [(s, n) for s, n in zip(lengths["length"].to_pylist(), lengths["count"].to_pylist(), strict=True) if n > bucket_rows]
+    hashed = F.xxhash64("doc_id", "piece", "ids_crc32")
+    out = F.lit(0)
+    for s, n in some:
+        out = F.when(F.col("length") == s, F.pmod(hashed, F.lit(-(-n // bucket_rows))).cast("int")).otherwise(out)
+    return out
+
+
+def pack(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID, model: str | None = None, bucket_rows: int = BUCKET_ROWS, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces with sequence_id and offset."""
-    spark = docs.sparkSession
     cut = materialise(pieces(docs, capacity=capacity, end_id=end_id, model=model, with_ids=with_ids, id_col=id_col, text_col=text_col), "pieces")
-    key = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
-    # at most capacity x buckets rows
+    # the rows that were written stand in the same places whenever they are read, so these numbers are the same in a repeated task
+    full = cut.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    rest = cut.where(F.col("length") < capacity)
+    lengths = rest.groupBy("length").count().toArrow()  # at most ``capacity`` rows
+    key = rest.withColumn("bucket", _buckets(lengths, bucket_rows))
     counts = key.groupBy("length", "bucket").count().toArrow().sort_by([("length", "ascending"), ("bucket", "ascending")])
     length, bucket, count = (counts[c].to_numpy() for c in ("length", "bucket", "count"))
     histogram: Counter[int] = Counter()
-    base = []
-    for s, n in zip(length.tolist(), count.tolist(), strict=True):
-        base.append(histogram[s])
+    base: dict[tuple[int, int], int] = {}
+    for s, k, n in zip(length.tolist(), bucket.tolist(), count.tolist(), strict=True):
+        base[s, k] = histogram[s]
         histogram[s] += n
-    bases = spark.createDataFrame(pa.table({"b_length": pa.array(length, pa.int64()), "b_bucket": pa.array(bucket, pa.int32()), "base": pa.array(base, pa.int64())}))
-    slots = spark.createDataFrame(_slots(plan(histogram, capacity)))
+    slots = _slots(plan(histogram, capacity))
+    edges = np.searchsorted(slots[:, 0], np.arange(capacity + 2))
     order = W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = key.withColumn("nth", F.row_number().over(order) - 1)
-    ranked = ranked.join(F.broadcast(bases), (F.col("length") == F.col("b_length")) & (F.col("bucket") == F.col("b_bucket"))).withColumn("rank", F.col("base") + F.col("nth"))
-    placed = ranked.join(F.broadcast(slots), (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank") - F.col("rank_from")).alias("sequence_id"), "offset", *["ids"] * with_ids)
+    ranked = key.withColumn("nth", F.row_number().over(order).cast("long") - 1)
+    kept = cut.columns
+    names = [*kept, "sequence_id", "offset"]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, offset = np.empty(len(batch), np.int64), np.empty(len(batch), np.int64)
+            lengths, buckets, nth = (batch[c].to_numpy() for c in ("length", "bucket", "nth"))
+            turn = np.flatnonzero(np.concatenate(([True], (lengths[1:] != lengths[:-1]) | (buckets[1:] != buckets[:-1])))) if len(batch) else []
+            for a, z in zip(turn, [*turn[1:], len(batch)], strict=True):
+                s = int(lengths[a])
+                own = slots[edges[s] : edges[s + 1]]
+                rank = base[s, int(buckets[a])] + nth[a:z]
+                at = np.searchsorted(own[:, 1], rank, side="right") - 1
+                first[a:z] = own[at, 2] + rank - own[at, 1]
+                offset[a:z] = own[at, 3]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(first), pa.array(offset)], names=names)
+
+    placed = ranked.mapInArrow(place, StructType([*cut.schema, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
+    out = placed.unionAll(full.select(*names))
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * with_ids)
