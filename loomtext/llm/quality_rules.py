@@ -7,7 +7,7 @@ text with repeated 3-word windows) is a few words said over and over. Failing li
 fewer than ``min_words`` words, or more than half of the words inside repeated 3-word windows.
 
 Scale: everything is computed within the row; there is no shuffle. Work in a row is linear but for
-one sort of 3-word windows, which only rows with a repeated window pay.
+sorts: of 3-word windows, which only rows with a repeated window pay, and in cleaning, of the lines of rows that lose some.
 
 Edge cases: a null text has no words, so it fails the base test; so does an empty one. Repeated
 rows are answered each. Only ``doc_id`` and the text are read by the report.
@@ -74,20 +74,39 @@ def _line_fails(line: Column, symbols_in_text: Column, repeats_in_text: Column)
     )
 
 
-def _scored(docs: DataFrame, text_col: str, min_words: int, max_lost: float) -> DataFrame:
-    """``docs`` with the columns _lines, _good, _words and _q (a struct of the report's values)."""
+def _firsts(full: str) -> Column:
+    """Of structs (i, x) in order of i, the first of each x, still in that order."""
+    lines = F.transform(full, lambda s: s["x"])
+
+    def first(placed: Column) -> Column:
+        lead = F.filter(placed, lambda s, j: (j == 0) | (s["x"] != F.get(placed, j - 1)["x"]))
+        return F.sort_array(F.transform(lead, lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x"))))
+
+    placed = F.sort_array(F.transform(full, lambda s: F.struct(s["x"].alias("x"), s["i"].alias("i"))))
+    return F.when(F.size(F.array_distinct(lines)) == F.size(full), F.col(full)).otherwise(F.transform(F.array(placed), first)[0])
+
+
+def _scored(docs: DataFrame, text_col: str, min_words: int, max_lost: float, with_places: bool = False) -> DataFrame:
+    """``docs`` with the columns _lines, _good (the earliest of equal lines, without those that fail) and _q (a struct of the
+    report's values). ``with_places`` makes _lines and _good structs of a line's number i and text x."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     chars = lambda c: F.length(F.translate(c, " \t\n\x0b\x0c\r", ""))
-    df = docs.withColumn("_w", _words(text)).withColumn("_lines", F.split(text, "\n")).withColumn("_sym", F.length(text) - F.length(F.translate(text, SYMBOLS, "")))
+    of = (lambda s: s["x"]) if with_places else (lambda x: x)
+    lines = F.split(text, "\n")
+    if with_places:
+        lines = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    df = docs.withColumn("_w", _words(text)).withColumn("_lines", lines).withColumn("_sym", F.length(text) - F.length(F.translate(text, SYMBOLS, "")))
     n = F.size("_w")
     df = df.withColumn("_win", _window_hashes("_w"))
-    full = F.filter("_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    full = F.filter("_lines", lambda x: of(x).rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("_rep", _repeat_words("_w", "_win")).withColumn("_full", full)
     # the earliest of equal lines is tested, later ones fail as repeats
-    df = df.withColumn("_good", F.filter(F.array_distinct("_full"), lambda x: ~_line_fails(x, F.col("_sym"), F.col("_rep"))))
+    df = df.withColumn("_first", _firsts("_full") if with_places else F.array_distinct("_full"))
+    df = df.withColumn("_good", F.filter("_first", lambda x: ~_line_fails(of(x), F.col("_sym"), F.col("_rep"))))
     n_words, total = n.cast("long"), chars(text).cast("long")
     failed = (n < min_words) | (F.lit(100) * F.col("_rep") > F.lit(50) * n)
-    lost = total - F.coalesce(chars(F.array_join("_good", "")), F.lit(0))
+    good = F.transform("_good", of) if with_places else F.col("_good")
+    lost = total - F.coalesce(chars(F.array_join(good, "")), F.lit(0))
     kept = ~failed & (lost.cast("double") <= F.lit(max_lost) * total.cast("double"))
     return df.withColumn(
         "_q",
@@ -95,7 +114,7 @@ def _scored(docs: DataFrame, text_col: str, min_words: int, max_lost: float) ->
             n_words.alias("n_words"),
             total.alias("word_chars"),
             F.col("_sym").cast("long").alias("n_symbols"),
-            (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long").alias("n_dup_lines"),
+            (F.size("_full") - F.size("_first")).cast("long").alias("n_dup_lines"),
             F.col("_rep").cast("long").alias("n_repeat_words"),
             failed.alias("base_failed"),
             kept.alias("kept"),
@@ -111,16 +130,14 @@ def quality_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def clean_documents(docs: DataFrame, *, text_col: str = "text", min_words: int = MIN_WORDS, max_lost: float = MAX_LOST) -> DataFrame:
     """The documents that pass, with their failing lines removed; blank lines stay. All columns stay."""
     names = docs.columns
-    scored = _scored(docs.select(F.struct(*names).alias("_doc"), F.col(text_col).alias("_text")), "_text", min_words, max_lost)
-    blank = lambda x: ~x.rlike(r"[^\x20\x09-\x0D]")
-    scored = scored.withColumn("_left", F.filter("_lines", lambda x: blank(x) | F.array_contains("_good", x)))
-    # of equal good lines the first stays
-    once = F.filter("_left", lambda x, i: blank(x) | (F.array_position("_left", x) == i + 1))
-    scored = scored.withColumn("_once", F.when(F.size("_full") == F.size(F.array_distinct("_full")), F.col("_left")).otherwise(once))
+    scored = _scored(docs.select(F.struct(*names).alias("_doc"), F.col(text_col).alias("_text")), "_text", min_words, max_lost, with_places=True)
+    blank = F.filter("_lines", lambda s: ~s["x"].rlike(r"[^\x20\x09-\x0D]"))
+    left = F.array_join(F.transform(F.sort_array(F.concat(blank, "_good")), lambda s: s["x"]), "\n")
     # A filter would be pushed below the steps above with their expressions written out in it many times
     # over; one on a column that isn't deterministic stays here.
     scored = scored.withColumn("_nth", F.monotonically_increasing_id()).where("_q.kept and _nth >= 0")
-    return scored.select(*[F.array_join("_once", "\n").alias(c) if c == text_col else F.col(f"_doc.`{c}`").alias(c) for c in names])
+    text = F.when(F.size("_good") == F.size("_full"), F.col("_text")).otherwise(left)
+    return scored.select(*[text.alias(c) if c == text_col else F.col(f"_doc.`{c}`").alias(c) for c in names])
 
 
 ORACLE = r"""

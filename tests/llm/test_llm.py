@@ -85,7 +85,6 @@ def test_token_counts_frames(spark):
 
 def test_encoder_equals_tokenizers():
     own = Tokenizer.from_file(bpe.resolve(None))
-    own.encode_special_tokens = True
     for text in ["Hello  world's 12 été ß!!", "\x1c\x85\xa0 a\n\n b", "中文　x", "", "   ", "don't I'LL"]:
         assert np.frombuffer(bpe.encoder().id_bytes(text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
 
@@ -213,7 +212,7 @@ def test_quality_rules(spark):
 
 def test_packing(spark):
     texts = [words(n, n, 3000) for n in [1, 5, 40, 90, 300, 900, 2500, 60, 61, 62]] + [None, ""]
-    rows = packing.pack(docs_of(spark, texts), capacity=256, buckets=3, with_ids=True).collect()
+    rows = packing.pack(docs_of(spark, texts), capacity=256, bucket_rows=3, with_ids=True).collect()
     bins = {}
     for r in rows:
         bins.setdefault(r.sequence_id, []).append(r)
