@@ -12,7 +12,8 @@ Scale: only distinct fingerprints are replicated, 34 narrow rows each at thresho
 all documents being copies is one fingerprint. At an anchor, links are folded into a spanning
 forest while rows stream by, hence at most one edge per row leaves, not one per pair. Anchors with over
 ``block_rows`` homes are dealt into chunks of homes, each compared with all visitors in its own
-task, so memory is bounded and nothing is skipped. Components come from ``components``.
+task, so memory is bounded and nothing is skipped. Components come from ``components``. Rows get their component by fingerprint:
+those of the fingerprints with most rows (``MOST_HOT`` at most) from a broadcast table, so no task gets all copies of a text, the others by a join.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other; repeated
 rows are one fingerprint; a null doc_id never names a component unless all of it is null (then null).
@@ -37,6 +38,8 @@ SHINGLE = 3
 THRESHOLD = 3
 SEED = 42
 BLOCK_ROWS = 1 << 14
+HOT_ROWS = 64
+MOST_HOT = 100_000
 _PIECE = 1 << 16
 
 
@@ -101,7 +104,7 @@ def bit_blocks(threshold: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def replicate(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def replicate(distinct: DataFrame, threshold: int = THRESHOLD, only_home: bool = False) -> DataFrame:
     """(block, anchor, fp, home) for distinct fingerprints ``fp``."""
     blocks = [(s, w, Covering(w)) for s, w in bit_blocks(threshold)]
     names = ["block", "anchor", "fp", "home"]
@@ -112,6 +115,8 @@ def replicate(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             for k, (shift, width, code) in enumerate(blocks):
                 part = (fps >> np.uint64(shift)) & np.uint64((1 << width) - 1)
                 rows, anchor, home = code.anchors(part)
+                if only_home:
+                    rows, anchor, home = rows[home], anchor[home], home[home]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), k, dtype=np.int32)), pa.array(anchor.view(np.int64)), pa.array(fps[rows].view(np.int64)), pa.array(home)], names=names)
 
     return distinct.select("fp").mapInArrow(step, "block int, anchor long, fp long, home boolean")
@@ -164,7 +169,7 @@ def _forest_edges(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator
 def links(distinct: DataFrame, threshold: int = THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(u, v): edges between distinct fingerprints with the components of all links."""
     rep = replicate(distinct, threshold)
-    crowded = rep.where("home").groupBy("block", "anchor").count().where(F.col("count") > block_rows)
+    crowded = replicate(distinct, threshold, only_home=True).groupBy("block", "anchor").count().where(F.col("count") > block_rows)
     crowded = crowded.select("block", "anchor", F.ceil(F.col("count") / block_rows).cast("int").alias("chunks"))
     rep = rep.join(crowded, ["block", "anchor"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     # a home lies in one chunk and visits the others
@@ -178,13 +183,19 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD, block_rows: int = BLO
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, threshold: int = THRESHOLD, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, fp (signed long), component_id (the smallest doc_id reachable by links)."""
     rows = materialise(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col), "fingerprints")
-    classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "classes")
     roots = connected_components(links(classes, threshold, block_rows))
     rooted = classes.join(roots, classes.fp == roots.node).select("fp", "first", "root")
     named = rooted.groupBy("root").agg(F.min("first").alias("component"))
     moved = rooted.join(named, "root").select("fp", "component")
-    named_classes = classes.join(moved, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
-    return rows.join(named_classes, "fp").select("doc_id", "fp", "component_id")
+    named_classes = materialise(classes.join(moved, "fp", "left").select("fp", "n", F.coalesce("component", "first").alias("component_id")), "components")
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.col("n") > max(HOT_ROWS, total // MOST_HOT)  # so there are at most MOST_HOT of them
+    crowd = named_classes.where(hot).select(F.col("fp").alias("hot_fp"), F.col("component_id").alias("hot_component"))
+    marked = rows.join(F.broadcast(crowd), F.col("fp") == F.col("hot_fp"), "left")
+    of_crowd = marked.where("hot_fp is not null").select("doc_id", "fp", F.col("hot_component").alias("component_id"))
+    others = marked.where("hot_fp is null").select("doc_id", "fp").join(named_classes.where(~hot).drop("n"), "fp")
+    return of_crowd.unionAll(others.select("doc_id", "fp", "component_id"))
 
 
 def near_duplicate_report(docs: DataFrame, **params: int) -> DataFrame:
