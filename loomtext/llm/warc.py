@@ -4,9 +4,10 @@ Every record is a gzip member of its own. The reader deals the files into byte r
 the gzip magic in its range, proves a candidate by inflating its head to a WARC version line,
 and owns the records that start inside its range, reading past the range's end to finish the last.
 
-Scale: payloads move once, to the task that writes them; digests are grouped with map-side combining, and
-only digests with several pages are joined back. A task writes its records as they come, and reads its
-range in pieces, so memory holds one record at a time. Files are named by attempt and listed in a manifest
+Scale: digests are grouped with map-side combining, and the pages that revisit another are found on (id, digest) rows
+alone. Payloads move once, dealt by page id and digest, so copies of one page go to many tasks, and meet
+their row there. A task writes its records as they come, and reads its
+range in pieces, so memory holds an Arrow batch of rows and one record. Files are named by attempt and listed in a manifest
 that Spark commits, so a lost or repeated task leaves no second copy in what is read.
 Files live in the shared folder, opened through pyarrow's file systems (file, hdfs, s3, gs).
 
@@ -68,12 +69,12 @@ def plan_records(pages: DataFrame, *, min_revisit: int = MIN_REVISIT, id_col: st
     """page_id, url, payload, digest (binary SHA-1) and refers_to (null for responses)."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
-    large = F.octet_length("payload") >= min_revisit
-    # the digests of single payloads need no join partner, so they aren't sent back
-    shared = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("of"), "last")
-    joined = rows.join(shared, (F.col("digest") == F.col("of")) & large, "left")
-    refers = F.when(F.col("page_id") != F.col("last"), F.col("last"))
-    return joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    narrow = rows.where(F.octet_length("payload") >= min_revisit).select("page_id", "digest")
+    shared = narrow.groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "last")
+    # equal rows give one; a null id equals none, so it never revisits
+    revisits = narrow.join(shared, "digest").where("page_id <> last").select("page_id", "digest", "last").distinct()
+    joined = rows.join(revisits, ["page_id", "digest"], "left")
+    return joined.select("page_id", "url", "payload", "digest", F.col("last").alias("refers_to"))
 
 
 def write_archives(planned: DataFrame, folder: str) -> DataFrame:
@@ -83,7 +84,7 @@ def write_archives(planned: DataFrame, folder: str) -> DataFrame:
         store = out = None
         path, n, size = f"{folder}/part-{uuid.uuid4().hex}.warc.gz", 0, 0
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for i in range(len(batch)) for r in batch.slice(i, 1).to_pylist()):
                 if out is None:
                     store, local = _file(path)
                     store.create_dir(local.rpartition("/")[0], recursive=True)
