@@ -4,7 +4,8 @@ Features are hashed word unigrams and bigrams (case kept) and n-grams of the pun
 words; a bigram of equal words, side by side or with one word between, is one feature whatever the word. Values
 are dampened counts, scaled to unit length; a text's score is the sigmoid of a sparse dot product.
 
-Scale: the model is fitted on at most ``max_rows`` labelled documents, those with the least hash of their id.
+Scale: the model is fitted on at most ``max_rows`` labelled documents, those with the least hash of their id, and of these on
+the first that have ``max_features`` features together (8 bytes each).
 They are turned into features where they lie; one task runs the updates over these bounded
 rows, in an order that doesn't depend on partitions. Scoring maps over all documents with the broadcast
 weights (2^bits floats) and shuffles nothing.
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 BITS = 20
 MAX_ROWS = 20_000
+MAX_FEATURES = 50_000_000
 EPOCHS = 4
 FOLDS = 5
 THRESHOLD = 0.3
@@ -94,8 +96,8 @@ def fold(id_col: str, folds: int = FOLDS) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", bits: int = BITS, max_rows: int = MAX_ROWS, epochs: int = EPOCHS, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Weights fitted on at most ``max_rows`` labelled documents outside fold 0."""
+def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", bits: int = BITS, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, epochs: int = EPOCHS, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """Weights fitted on at most ``max_rows`` labelled documents outside fold 0, and ``max_features`` features of theirs."""
     order = F.xxhash64(F.lit("fit"), "l_id")
     chosen = labels.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("label")).where(f"l_id is not null and label is not null and pmod(crc32(string(l_id)), {FOLDS}) <> 0")
     chosen = chosen.orderBy(order, "l_id", "label").limit(max_rows)  # at most max_rows pairs of numbers
@@ -109,7 +111,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", bits:
             yield pa.RecordBatch.from_arrays([batch["at"], batch["label"], pa.array([i for i, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32()))], names=["at", "label", "index", "value"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(np.asarray(i.values), np.asarray(v.values), y.as_py()) for b in batches for y, i, v in zip(b["label"], b["index"], b["value"], strict=True)]
+        rows, held = [], 0
+        for batch in batches:
+            if held >= max_features:
+                continue
+            for y, i, v in zip(batch["label"].to_pylist(), batch["index"], batch["value"], strict=True):
+                held += len(i)
+                if held > max_features:
+                    break
+                # copies, so that a batch isn't kept for a few of its rows
+                rows.append((np.array(i.values), np.array(v.values), y))
         yield pa.RecordBatch.from_pydict({"weights": [train_ftrl(rows, bits, epochs).tobytes()]})
 
     rows = joined.mapInArrow(extract, "at long, label int, index array<int>, value array<float>")
