@@ -2,7 +2,7 @@
 
 Scale: each step is one map-side combined minimum per node and one join; no neighbour list is ever
 gathered, so a hub is only a skewed join key, which adaptive execution splits. Every step is
-written to the shared folder, which bounds the lineage; the driver sees one count and one checksum.
+written to the shared folder, which bounds the lineage, and deleted after the next; the driver sees one count and one checksum.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.session import materialise
+from loomtext.session import discard, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def connected_components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
     now = materialise(clean(edges), "edges")
     seen = None
     for _ in range(max_steps):
-        now = materialise(clean(_small_star(clean(_large_star(now)))), "edges")
+        before, now = now, materialise(clean(_small_star(clean(_large_star(now)))), "edges")
+        discard(before)
         # two runs of a step over the same stars give the same stars
         mark = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if mark == seen or mark[0] == 0:
