@@ -6,9 +6,10 @@ replaced by the two unpacked documents that fill the expanded gap most tightly,
 Scale: lengths are whole numbers up to the capacity, so the plan needs only how many pieces have each length.
 Equal bins are planned together, which makes the plan a bounded table (some thousand rows for 1024
 tokens, whatever the corpus) of (length, range of ranks, first sequence, offset). A full piece is a sequence by itself and
-isn't ranked. Other pieces get their rank within their length from hash buckets of about ``BUCKET_ROWS`` pieces, so a length that a
-third of all pieces has is ranked by many tasks. The tables of bucket starts (a row for each ``BUCKET_ROWS`` pieces, and
-``capacity`` more at most) and of the plan are sent to the tasks, which look ranks up by bisection. Texts are never
+isn't ranked. Other pieces get their rank within their length from hash buckets of about ``BUCKET_ROWS`` pieces, or more
+where there would be over ``MOST_BUCKETS``, so a length that a
+third of all pieces has is ranked by many tasks. The tables of bucket starts (``MOST_BUCKETS`` + ``capacity`` numbers at most) and of
+the plan are broadcast to the tasks, which look ranks up by bisection. Texts are never
 shuffled, ids only if asked for.
 
 Edge cases: a null or empty text is its end token alone; longer documents are cut into full pieces, the
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -35,7 +36,8 @@ from loomtext.session import materialise
 
 CAPACITY = 1024
 END_ID = 2
-BUCKET_ROWS = 1_000_000
+BUCKET_ROWS = 200
+MOST_BUCKETS = 100_000
 
 
 def _fill(sizes: list[int], free: dict[int, int], gap: int) -> list[int]:
@@ -150,39 +152,35 @@ def pieces(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID, m
     return rows.mapInArrow(step, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-def _buckets(lengths: pa.Table, bucket_rows: int) -> Column:
-    """The bucket of a piece: its length has as many as its pieces need."""
-    some = [(s, n) for s, n in zip(lengths["length"].to_pylist(), lengths["count"].to_pylist(), strict=True) if n > bucket_rows]
-    hashed = F.xxhash64("doc_id", "piece", "ids_crc32")
-    out = F.lit(0)
-    for s, n in some:
-        out = F.when(F.col("length") == s, F.pmod(hashed, F.lit(-(-n // bucket_rows))).cast("int")).otherwise(out)
-    return out
-
-
 def pack(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID, model: str | None = None, bucket_rows: int = BUCKET_ROWS, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces with sequence_id and offset."""
+    spark = docs.sparkSession
     cut = materialise(pieces(docs, capacity=capacity, end_id=end_id, model=model, with_ids=with_ids, id_col=id_col, text_col=text_col), "pieces")
     # the rows that were written stand in the same places whenever they are read, so these numbers are the same in a repeated task
     full = cut.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     rest = cut.where(F.col("length") < capacity)
     lengths = rest.groupBy("length").count().toArrow()  # at most ``capacity`` rows
-    key = rest.withColumn("bucket", _buckets(lengths, bucket_rows))
+    rows = np.asarray(lengths["count"])
+    most = max(bucket_rows, int(rows.sum()) // MOST_BUCKETS)
+    few = spark.createDataFrame(pa.table({"of": lengths["length"], "buckets": pa.array(-(-rows // most), pa.int64())}))
+    dealt = rest.join(F.broadcast(few), F.col("length") == F.col("of")).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("buckets")))
+    key = dealt.select(*cut.columns, "bucket")
     counts = key.groupBy("length", "bucket").count().toArrow().sort_by([("length", "ascending"), ("bucket", "ascending")])
-    length, bucket, count = (counts[c].to_numpy() for c in ("length", "bucket", "count"))
-    histogram: Counter[int] = Counter()
-    base: dict[tuple[int, int], int] = {}
-    for s, k, n in zip(length.tolist(), bucket.tolist(), count.tolist(), strict=True):
-        base[s, k] = histogram[s]
-        histogram[s] += n
+    length, bucket, count = (counts[c].to_numpy().astype(np.int64) for c in ("length", "bucket", "count"))
+    before = np.cumsum(count) - count
+    lead = np.concatenate(([True], length[1:] != length[:-1])) if len(length) else np.empty(0, bool)
+    base = before - before[lead][np.cumsum(lead) - 1]  # ranks that earlier buckets of the length take
+    histogram = dict(zip(length[lead].tolist(), np.add.reduceat(count, np.flatnonzero(lead)).tolist(), strict=True)) if len(length) else {}
     slots = _slots(plan(histogram, capacity))
     edges = np.searchsorted(slots[:, 0], np.arange(capacity + 2))
+    shared = spark.sparkContext.broadcast((slots, edges, length << 32 | bucket, base))
     order = W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = key.withColumn("nth", F.row_number().over(order).cast("long") - 1)
     kept = cut.columns
     names = [*kept, "sequence_id", "offset"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots, edges, known, base = shared.value
         for batch in batches:
             first, offset = np.empty(len(batch), np.int64), np.empty(len(batch), np.int64)
             lengths, buckets, nth = (batch[c].to_numpy() for c in ("length", "bucket", "nth"))
@@ -190,7 +188,7 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID, mod
             for a, z in zip(turn, [*turn[1:], len(batch)], strict=True):
                 s = int(lengths[a])
                 own = slots[edges[s] : edges[s + 1]]
-                rank = base[s, int(buckets[a])] + nth[a:z]
+                rank = base[np.searchsorted(known, s << 32 | int(buckets[a]))] + nth[a:z]
                 at = np.searchsorted(own[:, 1], rank, side="right") - 1
                 first[a:z] = own[at, 2] + rank - own[at, 1]
                 offset[a:z] = own[at, 3]
