@@ -10,8 +10,9 @@ in the document with the smallest id that has it, so that one of many copies sta
 
 Scale: first, a line travels as the 8-byte key of its leaf, counted with map-side
 combining; only the lines of leaves that lie in enough documents go on. Tokens are counted once for each different line of
-a leaf, so a line in a third of all documents is one row there. Lines and templates are held by 128-bit keys. The text moves twice: to the
-numbers of the lines that go on, and to those of the dropped lines; both joins are on a row's own key, so no hot line holds them up.
+a leaf, so a line in a third of all documents is one row there. Lines and templates are held by 128-bit keys; those of crowded lines are
+joined from bounded broadcast tables (``spread``), and documents are counted in salted groups first. The text moves twice: to the
+numbers of the lines that go on, and to those of the dropped lines; both joins are on a row's own key.
 
 Edge cases: null text stays null and has no lines; a line with over half of its tokens variable from the start, or without tokens, is
 never dropped; a template several times in one document counts once; rows that repeat a doc_id
@@ -23,12 +24,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.llm.spread import spread_join
 from loomtext.session import materialise
 
 MIN_DOCS = 4
 DEPTH = 3
 SPACE = r"[\x20\x09-\x0D]+"
 VARIABLE = "<*>"
+SALTS = 64
 
 
 def _masked(line: Column) -> Column:
@@ -61,34 +64,44 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_
     some = docs.where(F.col(text_col).isNotNull())
     leaves = F.transform(F.split(F.col(text_col), "\n"), lambda x: F.transform(F.array(_masked(x)), lambda m: _leaf(m, min_tokens, depth))[0])
     lines = materialise(some.select(*_row_key(id_col, text_col), leaves.alias("_leaves")), "line-leaves")
-    often = lines.select(F.explode(F.array_distinct(F.array_compact("_leaves"))).alias("_leaf")).groupBy("_leaf").count().where(F.col("count") >= min_docs).select("_leaf")
-    hit = lines.select("_a", "_b", F.posexplode("_leaves").alias("_line", "_leaf")).where("_leaf is not null").join(often, "_leaf")
+    often = lines.select(F.explode(F.array_distinct(F.array_compact("_leaves"))).alias("_leaf")).groupBy("_leaf").agg(F.count(F.lit(1)).alias("_rows"))
+    often = materialise(often.where(F.col("_rows") >= min_docs), "recurring-leaves")
+    hit = spread_join(lines.select("_a", "_b", F.posexplode("_leaves").alias("_line", "_leaf")).where("_leaf is not null"), often, ["_leaf"], "_rows")
     picks = hit.groupBy("_a", "_b").agg(F.collect_set("_line").alias("_picks"))
     texts = some.select(*_row_key(id_col, text_col), F.col(id_col).alias("_id"), F.split(F.col(text_col), "\n").alias("_lines")).join(picks, ["_a", "_b"])
     picked = texts.select("_a", "_b", "_id", F.explode(F.transform("_picks", lambda i: F.struct(i.alias("_line"), F.get("_lines", i).alias("_text")))).alias("_p"))
     return materialise(picked.select("_a", "_b", "_id", "_p._line", _masked(F.col("_p._text")).alias("_text")), "candidate-lines")
 
 
+def _documents(rows: DataFrame, keys: list[str], with_text: bool = False) -> DataFrame:
+    """Per key: _docs (how many different ids) and _first (the least), counted in salted groups of ids first; and a _text, if asked for."""
+    text = [F.first("_text").alias("_text")] if with_text else []
+    parts = rows.groupBy(*keys, F.pmod(F.xxhash64("_id"), F.lit(SALTS)).alias("_salt")).agg(F.count_distinct("_id").alias("_docs"), F.min("_id").alias("_first"), *text)
+    return parts.groupBy(*keys).agg(F.sum("_docs").alias("_docs"), F.min("_first").alias("_first"), *text)
+
+
 def _templates(candidates: DataFrame, min_docs: int, depth: int) -> DataFrame:
-    """(_h, _g, _k, _l): the keys of each different line and of its template."""
-    different = candidates.groupBy(*_wide_hash(F.col("_text"), ("_h", "_g"))).agg(F.first("_text").alias("_text"), F.count_distinct("_id").alias("_docs"))
+    """(_h, _g, _docs, _k, _l): the keys of each different line and of its template, and the documents that have the line."""
+    named = candidates.select("_id", "_text", *_wide_hash(F.col("_text"), ("_h", "_g")))
+    different = _documents(named, ["_h", "_g"], with_text=True)
     different = materialise(different.select("_h", "_g", "_text", "_docs", _leaf(F.col("_text"), 1, depth).alias("_leaf"), F.size(F.split("_text", " ")).alias("_n")), "different-lines")
-    own = different.select("_h", "_g", *_wide_hash(F.col("_text"), ("_k", "_l")))
+    own = different.select("_h", "_g", "_docs", *_wide_hash(F.col("_text"), ("_k", "_l")))
     tokens = different.where(F.col("_n") > 2 * depth).select("_h", "_g", "_leaf", "_docs", F.posexplode(F.split("_text", " ")).alias("_i", "_y"))
     fixed = tokens.where(F.col("_i") >= depth).groupBy("_leaf", "_i", "_y").agg(F.sum("_docs").alias("_docs")).where(F.col("_docs") >= min_docs).select("_leaf", "_i", "_y", F.lit(True).alias("_fixed"))
     general = tokens.join(fixed, ["_leaf", "_i", "_y"], "left").select("_h", "_g", F.struct("_i", F.when((F.col("_i") < depth) | F.col("_fixed"), F.col("_y")).otherwise(VARIABLE).alias("_y")).alias("_t"))
     general = general.groupBy("_h", "_g").agg(F.transform(F.sort_array(F.collect_list("_t")), lambda t: t["_y"]).alias("_t"))
     general = general.where(F.size(F.array_remove("_t", VARIABLE)) * 2 >= F.size("_t")).select("_h", "_g", *_wide_hash(F.array_join("_t", " "), ("_gk", "_gl")))
-    return own.join(general, ["_h", "_g"], "left").select("_h", "_g", F.coalesce("_gk", "_k").alias("_k"), F.coalesce("_gl", "_l").alias("_l"))
+    return own.join(general, ["_h", "_g"], "left").select("_h", "_g", "_docs", F.coalesce("_gk", "_k").alias("_k"), F.coalesce("_gl", "_l").alias("_l"))
 
 
 def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = 1, depth: int = DEPTH) -> DataFrame:
     """(_a, _b, _drop): the key of a row, and the numbers of its lines that are dropped."""
     candidates = _candidates(docs, id_col, text_col, min_docs, min_tokens, depth)
     places = candidates.select("_a", "_b", "_id", "_line", *_wide_hash(F.col("_text"), ("_h", "_g")))
-    named = materialise(places.join(_templates(candidates, min_docs, depth), ["_h", "_g"]).select("_a", "_b", "_id", "_line", "_k", "_l"), "template-lines")
-    recurring = named.groupBy("_k", "_l").agg(F.count_distinct("_id").alias("_docs"), F.min("_id").alias("_first")).where(F.col("_docs") >= min_docs)
-    hit = named.join(recurring, ["_k", "_l"]).where(~F.col("_id").eqNullSafe(F.col("_first")))
+    templates = materialise(_templates(candidates, min_docs, depth), "templates")
+    named = materialise(spread_join(places, templates, ["_h", "_g"], "_docs").select("_a", "_b", "_id", "_line", "_k", "_l"), "template-lines")
+    recurring = materialise(_documents(named, ["_k", "_l"]).where(F.col("_docs") >= min_docs), "recurring-templates")
+    hit = spread_join(named, recurring, ["_k", "_l"], "_docs").where(~F.col("_id").eqNullSafe(F.col("_first")))
     return hit.groupBy("_a", "_b").agg(F.collect_set("_line").alias("_drop"))
 
 
