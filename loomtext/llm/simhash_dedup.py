@@ -13,7 +13,7 @@ all documents being copies is one fingerprint. At an anchor, links are folded in
 forest while rows stream by, hence at most one edge per row leaves, not one per pair. Anchors with over
 ``block_rows`` homes are dealt into chunks of homes, each compared with all visitors in its own
 task, so memory is bounded and nothing is skipped. Components come from ``components``. Rows get their component by fingerprint:
-those of the fingerprints with most rows (``MOST_HOT`` at most) from a broadcast table, so no task gets all copies of a text, the others by a join.
+those of crowded fingerprints from a bounded broadcast table (``spread``), so no task gets all copies of a text.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other; repeated
 rows are one fingerprint; a null doc_id never names a component unless all of it is null (then null).
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.components import connected_components
 from loomtext.llm.shingle_dedup import drop_near_duplicates as drop_near_duplicates
+from loomtext.llm.spread import HOT_ROWS, spread_join
 from loomtext.llm.text import lower_words
 from loomtext.session import materialise
 
@@ -38,8 +39,6 @@ SHINGLE = 3
 THRESHOLD = 3
 SEED = 42
 BLOCK_ROWS = 1 << 14
-HOT_ROWS = 64
-MOST_HOT = 100_000
 _PIECE = 1 << 16
 
 
@@ -189,13 +188,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, threshold: int =
     named = rooted.groupBy("root").agg(F.min("first").alias("component"))
     moved = rooted.join(named, "root").select("fp", "component")
     named_classes = materialise(classes.join(moved, "fp", "left").select("fp", "n", F.coalesce("component", "first").alias("component_id")), "components")
-    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = F.col("n") > max(HOT_ROWS, total // MOST_HOT)  # so there are at most MOST_HOT of them
-    crowd = named_classes.where(hot).select(F.col("fp").alias("hot_fp"), F.col("component_id").alias("hot_component"))
-    marked = rows.join(F.broadcast(crowd), F.col("fp") == F.col("hot_fp"), "left")
-    of_crowd = marked.where("hot_fp is not null").select("doc_id", "fp", F.col("hot_component").alias("component_id"))
-    others = marked.where("hot_fp is null").select("doc_id", "fp").join(named_classes.where(~hot).drop("n"), "fp")
-    return of_crowd.unionAll(others.select("doc_id", "fp", "component_id"))
+    return spread_join(rows, named_classes, ["fp"], "n", HOT_ROWS).select("doc_id", "fp", "component_id")
 
 
 def near_duplicate_report(docs: DataFrame, **params: int) -> DataFrame:
