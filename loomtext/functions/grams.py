@@ -14,7 +14,7 @@ def bound(c: Column, body) -> Column:
 
 
 def _windows(n: int, size: Column, at) -> Column:
-    return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), at)).otherwise(F.array().cast("array<string>"))
+    return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), at)).when(size < n, F.array().cast("array<string>"))
 
 
 def char_ngrams(c: Column, n: int, padded: bool = False) -> Column:
@@ -31,6 +31,55 @@ def grapheme_ngrams(c: Column, n: int) -> Column:
     return token_ngrams(F.regexp_extract_all(c, F.lit(r"(\X)"), F.lit(1)), n, "")
 
 
+def padded(items: Column, prefix: list, suffix: list) -> Column:
+    """An array between two stated ones; ``gram_count`` says how many grams follow."""
+    kind = "array<string>"
+    return F.concat(F.array(*map(F.lit, prefix)).cast(kind), items, F.array(*map(F.lit, suffix)).cast(kind))
+
+
+def padding_length(n: int, boundary: bool = True) -> int:
+    """On each side: n - 1 with boundary padding, else none."""
+    return n - 1 if boundary else 0
+
+
+def gram_count(size: Column, n: int, prefix: int = 0, suffix: int = 0) -> Column:
+    """Grams of ``size`` units between paddings."""
+    return F.greatest(size + prefix + suffix - n + 1, F.lit(0))
+
+
+def token_grams(tokens: Column, n: int) -> Column:
+    """array<array<string>>: windows that aren't joined."""
+    if n < 1:
+        raise ValueError("n must be at least 1")
+    return bound(tokens, lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.slice(t, i, F.lit(n)))).otherwise(F.array().cast("array<array<string>>")))
+
+
+def token_ngrams_padded(tokens: Column, n: int, joiner: str = " ") -> Column:
+    """With n - 1 empty tokens on each side."""
+    return token_ngrams(padded(tokens, [""] * (n - 1), [""] * (n - 1)), n, joiner)
+
+
+def grapheme_ngrams_padded(c: Column, n: int) -> Column:
+    clusters = F.regexp_extract_all(c, F.lit(r"(\X)"), F.lit(1))
+    return token_ngrams(padded(clusters, [PAD] * (n - 1), [PAD] * (n - 1)), n, "")
+
+
+def byte_ngrams(c: Column, n: int, pad: bool = False) -> Column:
+    """array<string> of hexadecimal digits of UTF-8 byte windows, with n - 1 zero bytes on each side if asked for."""
+    edge = "00" * (n - 1) if pad else ""
+    digits = F.concat(F.lit(edge), F.lower(F.hex(F.encode(c, "UTF-8"))), F.lit(edge))
+    size = (F.length(digits) / 2).cast("int")
+    return _windows(n, size, lambda i: F.substring(digits, 2 * i - 1, F.lit(2 * n)))
+
+
+def jaccard_distance(a: Column, b: Column) -> Column:
+    return 1 - jaccard(a, b)
+
+
+def intersection_size(a: Column, b: Column) -> Column:
+    return F.size(F.array_intersect(a, b))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of distinct grams; two empty sets are 1."""
     union = F.size(F.array_union(a, b))
@@ -107,6 +156,31 @@ def class_ratio(c: Column, character_class: str) -> Column:
     return F.when(F.length(c) == 0, 0.0).otherwise(F.regexp_count(c, F.lit(f"[{character_class}]")) / F.length(c))
 
 
+#: Two-letter general categories.
+CATEGORIES = "Lu Ll Lt Lm Lo Mn Mc Me Nd Nl No Pc Pd Ps Pe Pi Pf Po Sm Sc Sk So Zs Zl Zp Cc Cf Cs Co Cn".split()
+
+
+def category_histogram(c: Column) -> Column:
+    """map<string, int> of the categories that occur."""
+    counts = F.array(*[F.struct(F.lit(k).alias("key"), F.regexp_count(c, F.lit(rf"\p{{{k}}}")).alias("value")) for k in CATEGORIES])
+    return F.map_from_entries(F.filter(counts, lambda e: e["value"] > 0))
+
+
+def major_histogram(c: Column) -> Column:
+    """map<string, int> by the first letter: L, M, N, P, S, Z and C."""
+    counts = F.array(*[F.struct(F.lit(k).alias("key"), F.regexp_count(c, F.lit(rf"\p{{{k}}}")).alias("value")) for k in "LMNPSZC"])
+    return F.map_from_entries(F.filter(counts, lambda e: e["value"] > 0))
+
+
+#: Java character classes of the reported shares.
+RATIO_CLASSES = {"control": r"\p{Cc}", "printable": r"\P{Cc}", "whitespace": r"\p{IsWhite_Space}", "digit": "0-9", "alphabetic": r"\p{IsAlphabetic}", "punctuation": r"\p{P}"}
+
+
+def ratios(c: Column) -> Column:
+    """struct of the share of code points in each of ``RATIO_CLASSES``; the empty text has zeros."""
+    return F.struct(*[class_ratio(c, k).alias(name) for name, k in RATIO_CLASSES.items()])
+
+
 def length_bounds(size: Column, threshold: Column) -> tuple[Column, Column]:
     """Sizes that can reach a Jaccard threshold with a set of ``size``."""
     return F.ceil(size * threshold - 1e-9), F.floor(size / threshold + 1e-9)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType, IntegerType
 
@@ -123,3 +124,67 @@ jaro_winkler_sim = _column(jaro_winkler, DoubleType())
 jaro_winkler_boosted_sim = _column(lambda a, b: jaro_winkler(a, b, 0.7), DoubleType())
 nw_score = _column(needleman_wunsch, IntegerType())
 sw_score = _column(smith_waterman, IntegerType())
+
+
+def lcs_distance(a: Column, b: Column) -> Column:
+    """Code points that aren't in the longest common subsequence, on both sides."""
+    return F.length(a) + F.length(b) - 2 * lcs(a, b)
+
+
+def as_bytes(c: Column) -> Column:
+    """A text with one character for each UTF-8 byte, for kernels that count code points."""
+    return F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+
+
+def levenshtein_bytes(a: Column, b: Column) -> Column:
+    return F.levenshtein(as_bytes(a), as_bytes(b))
+
+
+def osa_bytes(a: Column, b: Column) -> Column:
+    return osa(as_bytes(a), as_bytes(b))
+
+
+def within(distance: Column, cutoff: int) -> Column:
+    """The distance up to a cutoff, null beyond."""
+    return F.when(distance <= cutoff, distance)
+
+
+def osa_within_distance(a: str, b: str, cutoff: int) -> int | None:
+    """OSA by a band of ``cutoff`` cells on either side of the diagonal; None beyond the cutoff."""
+    if abs(len(a) - len(b)) > cutoff:
+        return None
+    far = cutoff + 1
+    before: list[int] = []
+    last = [j if j <= cutoff else far for j in range(len(b) + 1)]
+    for i, x in enumerate(a, 1):
+        row = [far] * (len(b) + 1)
+        if i <= cutoff:
+            row[0] = i
+        for j in range(max(1, i - cutoff), min(len(b), i + cutoff) + 1):
+            y = b[j - 1]
+            best = min(last[j - 1] + (x != y), last[j] + 1, row[j - 1] + 1)
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                best = min(best, before[j - 2] + 1)
+            row[j] = min(best, far)
+        if min(row) > cutoff:
+            return None
+        before, last = last, row
+    return last[-1] if last[-1] <= cutoff else None
+
+
+def osa_within(a: Column, b: Column, cutoff: int) -> Column:
+    return _column(lambda x, y: osa_within_distance(x, y, cutoff), IntegerType())(a, b)
+
+
+def jaro_winkler_custom(a: Column, b: Column, *, prefix: int = 4, scale: float = 0.1, boost_from: float = 0.0) -> Column:
+    """``prefix`` times ``scale`` may not pass 1, so the result stays in [0, 1]."""
+    if not 0 <= prefix * scale <= 1 or not 0 <= boost_from <= 1:
+        raise ValueError("prefix * scale and boost_from lie in [0, 1]")
+
+    def one(x: str, y: str) -> float:
+        base, same = jaro(x, y), 0
+        while same < min(prefix, len(x), len(y)) and x[same] == y[same]:
+            same += 1
+        return base + same * scale * (1 - base) if base >= boost_from else base
+
+    return _column(one, DoubleType())(a, b)

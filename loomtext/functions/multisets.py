@@ -81,3 +81,12 @@ def cosine(a: Column, b: Column) -> Column:
 def normalize_l2(a: Column) -> Column:
     norm = F.sqrt(dot(a, a))
     return F.transform_values(a, lambda _, x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+
+
+def normalize_l1(a: Column) -> Column:
+    total = F.aggregate(F.map_values(a), F.lit(0.0), lambda s, x: s + F.abs(x))
+    return F.transform_values(a, lambda _, x: F.when(total > 0, x / total).otherwise(F.lit(0.0)))
+
+
+def cosine_distance(a: Column, b: Column) -> Column:
+    return 1 - cosine(a, b)

@@ -7,6 +7,8 @@ null, null grams are left out; arrays without grams give the empty sketch (all b
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -106,3 +108,61 @@ def simhash(grams: Column, seed: int = 0) -> Column:
 def simhash_cosine(a: Column, b: Column) -> Column:
     """Cosine similarity estimated from the differing bits."""
     return F.cos(F.lit(np.pi) * F.bit_count(a.bitwiseXOR(b)) / 64)
+
+
+def simhash_votes(features: dict[str, int], seed: int = 0) -> np.ndarray:
+    """128 sums of weights, counted for where a feature's hash has the bit and against where it hasn't."""
+    grams = [g for g in features if g is not None]
+    if not grams:
+        return np.zeros(128, np.int64)
+    base = _bases(grams)
+    halves = np.stack([splitmix(base ^ slot) for slot in _slots(seed, 2)], axis=1)
+    bits = np.unpackbits(halves.view(np.uint8).reshape(len(grams), 16), axis=1, bitorder="little").astype(np.int64)
+    return (np.array([features[g] for g in grams], np.int64)[:, None] * (2 * bits - 1)).sum(axis=0)
+
+
+def _bits_of(votes: np.ndarray) -> list[int]:
+    """Two longs; a tie is a zero bit."""
+    return np.packbits(votes > 0, bitorder="little").view(np.int64).tolist()
+
+
+def simhash_128(weights: Column, seed: int = 0) -> Column:
+    """struct<lo, hi> of a map<string, long> of weighted features; the 64-bit form is ``lo``. No features give zeros."""
+
+    def apply(rows: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, None) if r is None else _bits_of(simhash_votes(dict(r), seed)) for r in rows], columns=["lo", "hi"])
+
+    return F.when(weights.isNotNull(), F.pandas_udf(apply, "struct<lo:long,hi:long>")(weights))
+
+
+def simhash_64(weights: Column, seed: int = 0) -> Column:
+    return simhash_128(weights, seed)["lo"]
+
+
+def simhash_128_of(grams: Column, seed: int = 0) -> Column:
+    """struct<lo, hi> of an array, each gram weighing as often as it occurs."""
+
+    def apply(rows: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, None) if r is None else _bits_of(simhash_votes(dict(Counter(g for g in r if g is not None)), seed)) for r in rows], columns=["lo", "hi"])
+
+    return F.when(grams.isNotNull(), F.pandas_udf(apply, "struct<lo:long,hi:long>")(grams))
+
+
+def simhash_bands(value: Column, bands: int, width: int = 64) -> Column:
+    """array<long>: equal slices of the bits, the lowest first; ``width`` bits must divide into them."""
+    if width % bands:
+        raise ValueError("the bands must divide the bits")
+    size = width // bands
+    mask = (1 << size) - 1
+    return F.array(*[F.shiftrightunsigned(value, i * size).bitwiseAND(F.lit(mask if size < 64 else -1)) for i in range(bands)])
+
+
+def simhash_bands_128(value: Column, bands: int) -> Column:
+    """The bands of both halves of ``simhash_128``, half of them from each."""
+    if bands % 2:
+        raise ValueError("each half has the same number of bands")
+    return F.concat(simhash_bands(value["lo"], bands // 2), simhash_bands(value["hi"], bands // 2))
+
+
+def simhash_hamming_128(a: Column, b: Column) -> Column:
+    return F.bit_count(a["lo"].bitwiseXOR(b["lo"])) + F.bit_count(a["hi"].bitwiseXOR(b["hi"]))

@@ -4,56 +4,67 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_M64 = (1 << 64) - 1
-
-
-def _gear_table(seed: int = 0) -> list[int]:
-    """256 values of SplitMix64."""
-    out, state = [], seed
-    for _ in range(256):
-        state = (state + 0x9E3779B97F4A7C15) & _M64
-        z = ((state ^ state >> 30) * 0xBF58476D1CE4E5B9) & _M64
-        z = ((z ^ z >> 27) * 0x94D049BB133111EB) & _M64
-        out.append(z ^ z >> 31)
-    return out
-
-
-GEAR = _gear_table()
-
-
-def cut_points(data: bytes, least: int = 2048, average: int = 8192, most: int = 65536) -> list[int]:
-    """Chunk ends by a gear hash: no cut below ``least``, a strict mask up to ``average``, a loose one after."""
-    bits = average.bit_length() - 1
-    strict, loose = (1 << bits + 1) - 1, (1 << bits - 1) - 1
-    ends, start = [], 0
-    while start < len(data):
-        end, h, i = min(len(data), start + most), 0, start + least
-        middle = start + average
-        cut = end
-        while i < end:
-            h = ((h << 1) + GEAR[data[i]]) & _M64
-            if not (h >> 16) & (strict if i < middle else loose):
-                cut = i + 1
-                break
-            i += 1
-        ends.append(cut)
-        start = cut
+from loomtext.functions.batches import text_udf
+from loomtext.functions.rolling import gear_hashes
+from loomtext.functions.segments import sentence_list
+
+# Least, average and most bytes of a chunk, and the masks up to the average and after it.
+PRESETS = {"8k": (2048, 8192, 65536, 0x0003590703530000, 0x0000D90003530000), "16k": (4096, 16384, 131072, 0x0007590703530000, 0x0001D90003530000)}
+
+
+@dataclass(frozen=True)
+class Cdc:
+    """Chunk sizes and masks: no cut below ``least`` bytes, ``strict`` up to ``average``, ``loose`` after, a cut at ``most``."""
+
+    least: int
+    average: int
+    most: int
+    strict: int
+    loose: int
+
+    @classmethod
+    def preset(cls, name: str) -> Cdc:
+        return cls(*PRESETS[name])
+
+    @classmethod
+    def around(cls, least: int, average: int, most: int) -> Cdc:
+        """Masks with one bit more and one less than the average's."""
+        bits = average.bit_length() - 1
+        return cls(least, average, most, ((1 << bits + 1) - 1) << 16, ((1 << bits - 1) - 1) << 16)
+
+
+def cut_points(data: bytes, cdc: Cdc) -> list[int]:
+    """Chunk ends. A chunk's hash begins at its byte number ``least``, so at each place it is the gear hash of the bytes since then, 64 at most."""
+    ends, start, n = [], 0, len(data)
+    block = 1 << 14
+    while start < n:
+        stop, first, cut = min(n, start + cdc.most), start + cdc.least - 1, 0
+        at = first
+        while at < stop and not cut:
+            # each block with the 63 bytes before it, as far as these are hashed at all
+            warm = max(first, at - 63)
+            h = gear_hashes(data[warm : min(stop, at + block)])[at - warm :]
+            sizes = np.arange(at - start + 1, at - start + 1 + len(h))
+            masked = np.where(sizes <= cdc.average, h & np.uint64(cdc.strict), h & np.uint64(cdc.loose))
+            hit = np.flatnonzero((masked == 0) | (sizes >= cdc.most))
+            if len(hit):
+                cut = at + int(hit[0]) + 1
+            at += block
+        start = cut or stop
+        ends.append(start)
     return ends
 
 
-def fastcdc(df: DataFrame, *, id_col: str, text_col: str, least: int = 2048, average: int = 8192, most: int = 65536) -> DataFrame:
-    """(id, chunk, end, size): byte offsets in the UTF-8 text."""
-
-    @F.pandas_udf("array<int>")
-    def ends(c: pd.Series) -> pd.Series:
-        return c.map(lambda x: cut_points(x.encode(), least, average, most), na_action="ignore")
-
-    cut = df.select(F.col(id_col).alias("id"), ends(text_col).alias("ends"))
+def fastcdc(df: DataFrame, *, id_col: str, text_col: str, cdc: Cdc = Cdc(*PRESETS["8k"])) -> DataFrame:
+    """(id, chunk, end, size): byte offsets in the UTF-8 text; null and empty texts have no chunks."""
+    cut = df.select(F.col(id_col).alias("id"), text_udf(lambda x: cut_points(x.encode(), cdc), "array<int>")(F.col(text_col)).alias("ends"))
     rows = cut.select("id", "ends", F.posexplode("ends").alias("chunk", "end"))
     return rows.select("id", "chunk", "end", (F.col("end") - F.when(F.col("chunk") > 0, F.get("ends", F.col("chunk") - 1)).otherwise(0)).alias("size"))
 
@@ -84,8 +95,7 @@ def split_paragraphs(text: str, size: int) -> list[str]:
 def split_sentences(text: str, size: int) -> list[str]:
     """Sentences packed greedily; a longer one stays whole."""
     out: list[str] = []
-    for s in re.findall(r"[^.!?]+[.!?]*\s*", text):
-        s = s.strip()
+    for s in map(str.strip, sentence_list(text)):
         if s and out and len(out[-1]) + 1 + len(s) <= size:
             out[-1] += " " + s
         elif s:
@@ -93,12 +103,17 @@ def split_sentences(text: str, size: int) -> list[str]:
     return out
 
 
-def split_texts(df: DataFrame, splitter: Callable[[str, int], list[str]], *, size: int, id_col: str, text_col: str) -> DataFrame:
+def overlapped(pieces: list[str], overlap: int) -> list[str]:
+    """Each piece behind the end of the one before, so pieces can pass the size by ``overlap``."""
+    return [(pieces[i - 1][-overlap:] if i and overlap else "") + x for i, x in enumerate(pieces)]
+
+
+def split_texts(df: DataFrame, splitter: Callable[[str, int], list[str]], *, size: int, overlap: int = 0, id_col: str, text_col: str) -> DataFrame:
     """(id, chunk, text) rows of any splitter; null and empty texts have none."""
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(i, k, t) for i, x in zip(pdf["id"], pdf["text"], strict=True) for k, t in enumerate(splitter(x or "", size))]
+            rows = [(i, k, t) for i, x in zip(pdf["id"], pdf["text"], strict=True) for k, t in enumerate(overlapped(splitter(x or "", size), overlap))]
             yield pd.DataFrame(rows, columns=["id", "chunk", "text"])
 
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

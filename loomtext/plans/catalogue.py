@@ -7,33 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.functions import alignment, collation, formats, grams, kernels, lsh, multisets, phonetic, sketches, strings, tokens, unicode, wrapping
+from loomtext.functions import alignment, collation, escapes, formats, grams, kernels, lsh, multisets, phonetic, sketches, strings, tokens, unicode, wrapping
 from loomtext.operators import chunking, diff, joins, nearest
+from loomtext.plans import languages, patterns, segments, sequences, texts
+from loomtext.plans.base import ORACLES as _ORACLES
+from loomtext.plans.base import QUERIES as _QUERIES
+from loomtext.plans.base import pair as _pair
+from loomtext.plans.base import query as _query
+from loomtext.plans.base import read as _read
+from loomtext.plans.base import scalar as _scalar
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def _scalar(name: str, table: str, key: str, columns: dict, oracle: str | None) -> None:
-    """A query of one table: its key and computed columns."""
-    _QUERIES[name] = lambda spark, sf_dir: _read(spark, sf_dir, table).select(key, *[c().alias(n) for n, c in columns.items()])
-    if oracle:
-        _ORACLES[name] = f"SELECT {key}, {oracle} FROM {table}"
-
-
-def _query(oracle: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if oracle:
-            _ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
+MODULES = (languages, patterns, segments, sequences, texts)
 
 _c = F.col
 
@@ -54,9 +38,8 @@ _scalar("norm_whitespace", "documents", "doc_id", {"t": lambda: F.sha2(strings.c
 _scalar("norm_controls", "pages", "page_id", {"t": lambda: F.sha2(strings.strip_controls(_c("html")), 256)}, r"sha256(regexp_replace(html, '[\x00-\x1f\x7f-\x{9f}]', '', 'g')) AS t")
 _scalar("norm_diacritics", "documents", "doc_id", {"t": lambda: F.sha2(unicode.strip_diacritics(_c("text")), 256)}, "sha256(strip_accents(text)) AS t")
 _scalar("norm_nfc", "documents", "doc_id", {"t": lambda: F.sha2(unicode.nfc(_c("text")), 256)}, "sha256(nfc_normalize(text)) AS t")
-_scalar("norm_search_key", "documents", "doc_id", {"k": lambda: F.sha2(unicode.search_key(_c("text")), 256)}, None)
-_scalar("escape_html", "pages", "page_id", {"t": lambda: F.sha2(strings.escape_html(_c("html")), 256), "back": lambda: strings.unescape_html(strings.escape_html(_c("html"))) == _c("html")}, "sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS t, true AS back")
-_scalar("escape_uri", "pages", "page_id", {"t": lambda: strings.percent_encode(_c("url")), "back": lambda: strings.percent_decode(strings.percent_encode(_c("url")))}, "url_encode(url) AS t, url AS back")
+_scalar("escape_html", "pages", "page_id", {"t": lambda: F.sha2(strings.escape_html(_c("html")), 256), "back": lambda: escapes.unescape_html(strings.escape_html(_c("html"))) == _c("html")}, "sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS t, true AS back")
+_scalar("escape_uri", "pages", "page_id", {"t": lambda: escapes.percent_encode(_c("url")), "back": lambda: strings.percent_decode(escapes.percent_encode(_c("url")))}, "url_encode(url) AS t, url AS back")
 _scalar("escape_json", "pages", "page_id", {"t": lambda: F.get_json_object(F.concat(F.lit('{"v":"'), strings.escape_json(_c("html")), F.lit('"}')), "$.v") == _c("html")}, "true AS t")
 _scalar("escape_shell", "pages", "page_id", {"t": lambda: strings.shell_quote(_c("url"))}, r"CASE WHEN regexp_full_match(url, '[A-Za-z0-9_@%+=:,./-]+') THEN url ELSE '''' || replace(url, '''', '''\"''\"''') || '''' END AS t".replace('\\"', '"'))
 _scalar("escape_regex", "pages", "page_id", {"t": lambda: strings.escape_regex(_c("url"))}, r"regexp_replace(url, '([\\.+*?()|\[\]{}^$#&\-~])', '\\\1', 'g') AS t")
@@ -66,25 +49,9 @@ _scalar("stats_entropy", "documents", "doc_id", {"h": lambda: F.round(grams.entr
 _scalar("stats_ratios", "documents", "doc_id", {"d": lambda: F.round(grams.class_ratio(_c("text"), "0-9"), 9), "p": lambda: F.round(grams.class_ratio(_c("text"), r"\p{P}"), 9)}, r"round(length(regexp_replace(text, '[^0-9]', '', 'g')) / length(text), 9) AS d, round(length(regexp_replace(text, '\P{P}', '', 'g')) / length(text), 9) AS p")
 _scalar("ngram_char", "part", "p_partkey", {"g": lambda: F.array_join(grams.char_ngrams(_c("p_name"), 3), "|")}, "array_to_string(list_transform(range(1, length(p_name) - 1), lambda i: substr(p_name, CAST(i AS INT), 3)), '|') AS g")
 _scalar("ngram_token", "documents", "doc_id", {"n": lambda: F.size(grams.token_ngrams(strings.split_whitespace(_c("text")), 2))}, r"CAST(greatest(len(regexp_extract_all(text, '\S+')) - 1, 0) AS INT) AS n")
-_scalar("phonetic_soundex", "nation", "n_nationkey", {"s": lambda: phonetic.soundex(_c("n_name")), "y": lambda: phonetic.nysiis(_c("n_name"))}, None)
 _scalar("format_numbers", "orders", "o_orderkey", {"d": lambda: formats.format_decimal(_c("o_totalprice"), 2, "de"), "leap": lambda: formats.is_leap(F.year("o_orderdate")), "dim": lambda: formats.days_in_month(_c("o_orderdate")), "wd": lambda: formats.iso_weekday(_c("o_orderdate"))}, "translate(format('{:,.2f}', o_totalprice), ',.', '.,') AS d, (year(o_orderdate) % 4 = 0 AND (year(o_orderdate) % 100 <> 0 OR year(o_orderdate) % 400 = 0)) AS leap, CAST(day(last_day(o_orderdate)) AS INT) AS dim, CAST(isodow(o_orderdate) AS INT) AS wd")
 _scalar("plural_rules", "lineitem", "l_orderkey", {"c": lambda: formats.plural_cardinal(_c("l_linenumber"), "ru"), "o": lambda: formats.plural_ordinal_en(_c("l_linenumber"))}, "CASE WHEN l_linenumber % 10 = 1 AND l_linenumber % 100 <> 11 THEN 'one' WHEN l_linenumber % 10 BETWEEN 2 AND 4 AND l_linenumber % 100 NOT BETWEEN 12 AND 14 THEN 'few' ELSE 'many' END AS c, CASE WHEN l_linenumber % 10 = 1 AND l_linenumber % 100 <> 11 THEN 'one' WHEN l_linenumber % 10 = 2 AND l_linenumber % 100 <> 12 THEN 'two' WHEN l_linenumber % 10 = 3 AND l_linenumber % 100 <> 13 THEN 'few' ELSE 'other' END AS o")
 
-_PAIRS = "(SELECT a.p_name AS x, b.p_name AS y FROM (SELECT DISTINCT p_name FROM part) a, (SELECT DISTINCT p_name FROM part) b)"
-
-
-def _name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of the part names, of which there are a few dozen at any size."""
-    names = _read(spark, sf_dir, "part").select("p_name").distinct()
-    return names.select(F.col("p_name").alias("x")).join(names.select(F.col("p_name").alias("y")), F.lit(True))
-
-
-def _pair(name: str, columns: dict, oracle: str | None) -> None:
-    _QUERIES[name] = lambda spark, sf_dir: _name_pairs(spark, sf_dir).select("x", "y", *[c().alias(n) for n, c in columns.items()])
-    if oracle:
-        _ORACLES[name] = f"SELECT x, y, {oracle} FROM {_PAIRS}"
-
-
 def _grams2(c: str):
     return grams.char_ngrams(_c(c), 2)
 
@@ -94,21 +61,24 @@ _gx, _gy = _G.format("x"), _G.format("y")
 _pair("dist_levenshtein", {"d": lambda: F.levenshtein("x", "y"), "within": lambda: F.levenshtein("x", "y", 5) >= 0}, "CAST(levenshtein(x, y) AS INT) AS d, levenshtein(x, y) <= 5 AS within")
 _pair("dist_hamming", {"d": lambda: grams.hamming(_c("x"), _c("y"))}, "CAST(CASE WHEN length(x) = length(y) THEN hamming(x, y) END AS INT) AS d")
 _pair("dist_damerau", {"d": lambda: kernels.damerau("x", "y")}, "CAST(damerau_levenshtein(x, y) AS INT) AS d")
-_pair("dist_osa", {"d": lambda: kernels.osa("x", "y")}, None)
-_pair("dist_lcs", {"n": lambda: kernels.lcs("x", "y")}, None)
 _pair("sim_jaro", {"s": lambda: F.round(kernels.jaro_sim("x", "y"), 9)}, "round(jaro_similarity(x, y), 9) AS s")
 _pair("sim_jaro_winkler", {"s": lambda: F.round(kernels.jaro_winkler_boosted_sim("x", "y"), 9)}, "round(jaro_winkler_similarity(x, y), 9) AS s")
 _pair("sim_sets", {"j": lambda: F.round(grams.jaccard(_grams2("x"), _grams2("y")), 9), "d": lambda: F.round(grams.dice(_grams2("x"), _grams2("y")), 9), "o": lambda: F.round(grams.overlap(_grams2("x"), _grams2("y")), 9)}, f"round(len(list_intersect({_gx}, {_gy})) / len(list_distinct({_gx} || {_gy})), 9) AS j, round(2 * len(list_intersect({_gx}, {_gy})) / (len({_gx}) + len({_gy})), 9) AS d, round(len(list_intersect({_gx}, {_gy})) / least(len({_gx}), len({_gy})), 9) AS o")
-_pair("align_scores", {"nw": lambda: kernels.nw_score("x", "y"), "sw": lambda: kernels.sw_score("x", "y")}, None)
 _pair("align_affine", {"nw": lambda: alignment.score_column(_c("x"), _c("y")), "sw": lambda: alignment.score_column(_c("x"), _c("y"), local=True)}, None)
 _pair("align_script", {"n": lambda: F.size(F.filter(alignment.align_column(_c("x"), _c("y"))["script"], lambda s: s["op"] != "keep"))}, None)
-_pair("diff_words", {"n": lambda: F.size(F.filter(diff.word_diff(F.translate("x", " ", "\n"), F.translate("y", " ", "\n")), lambda e: e["op"] != "keep"))}, None)
 
 
-@_query(f"SELECT l.x AS l_id, r.x AS r_id, round(len(list_intersect(l.g, r.g)) / len(list_distinct(l.g || r.g)), 9) AS jaccard_sim FROM (SELECT DISTINCT p_name AS x, {_G.format('p_name')} AS g FROM part) l, (SELECT DISTINCT p_name AS x, {_G.format('p_name')} AS g FROM part) r WHERE len(list_intersect(l.g, r.g)) / len(list_distinct(l.g || r.g)) >= 0.4")
+_PHRASE = "lower(c_mktsegment) || ' ' || regexp_replace(lower(c_name), '#0*', ' ')"
+
+
+@_query(f"WITH t AS (SELECT DISTINCT {_PHRASE} AS x, {_G.format('(' + _PHRASE + ')')} AS g FROM customer), s AS (SELECT DISTINCT regexp_replace(lower(s_name), 'supplier#0*', 'building customer ') AS y, list_distinct(list_transform(range(1, length(regexp_replace(lower(s_name), 'supplier#0*', 'building customer '))), lambda i: substr(regexp_replace(lower(s_name), 'supplier#0*', 'building customer '), CAST(i AS INT), 2))) AS h FROM supplier) SELECT x AS l_id, y AS r_id, round(len(list_intersect(g, h)) / len(list_distinct(g || h)), 9) AS jaccard_sim FROM t, s WHERE len(list_intersect(g, h)) / len(list_distinct(g || h)) >= 0.8")
 def join_qgram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = _read(spark, sf_dir, "part").select("p_name").distinct().select(F.col("p_name").alias("name"), grams.char_ngrams(F.col("p_name"), 2).alias("grams"))
-    return joins.jaccard_join(names, names, id_col="name", gram_col="grams", threshold=0.4).withColumn("jaccard_sim", F.round("jaccard_sim", 9))
+    """Each customer's segment and number against suppliers put in the same words: tables that grow, with grams that most rows share."""
+    phrase = F.concat(F.lower("c_mktsegment"), F.lit(" "), F.regexp_replace(F.lower("c_name"), "#0*", " "))
+    c = _read(spark, sf_dir, "customer").select(phrase.alias("name")).distinct()
+    s = _read(spark, sf_dir, "supplier").select(F.regexp_replace(F.lower("s_name"), "supplier#0*", "building customer ").alias("name")).distinct()
+    sets = lambda df: df.select("name", grams.char_ngrams(F.col("name"), 2).alias("grams"))
+    return joins.jaccard_join(sets(c), sets(s), id_col="name", gram_col="grams", threshold=0.8).withColumn("jaccard_sim", F.round("jaccard_sim", 9))
 
 
 @_query("SELECT c.c_custkey AS l_id, s.s_suppkey AS r_id, CAST(levenshtein(substr(c_name, 10), substr(s_name, 10)) AS INT) AS lev_dist FROM customer c, supplier s WHERE levenshtein(substr(c_name, 10), substr(s_name, 10)) <= 1")
@@ -129,16 +99,31 @@ def agg_char_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select(F.explode(F.split("text", "")).alias("ch")).groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query()
+_SETS = """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '\\S+') AS w FROM documents),
+g AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')))) AS g FROM w),
+c AS (SELECT g, min(doc_id) AS class_id FROM g GROUP BY g),
+e AS (SELECT class_id, unnest(g) AS s, len(g) AS n FROM c),
+p AS (SELECT a.class_id AS u, b.class_id AS v, a.n + b.n AS both_n, count(*) AS shared FROM e a JOIN e b USING (s) WHERE a.class_id < b.class_id GROUP BY ALL),
+k AS (SELECT u, v FROM p WHERE shared / (both_n - shared) >= 0.8),
+l AS (SELECT u, v FROM k UNION ALL SELECT v, u FROM k),
+r AS (SELECT class_id AS node, class_id AS seen FROM c UNION SELECT node, l.v FROM r JOIN l ON seen = l.u),
+t AS (SELECT node, min(seen) AS group_id FROM r GROUP BY node)
+SELECT doc_id AS id, c.class_id, group_id, (SELECT count(*) FROM l WHERE l.u = c.class_id) AS n_links FROM g JOIN c USING (g) JOIN t ON node = class_id"""
+
+
+def _shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select("doc_id", F.array_distinct(grams.token_ngrams(strings.split_whitespace(F.lower("text")), 5)).alias("g"))
+
+
+@_query(_SETS)
 def sketch_minhash_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _read(spark, sf_dir, "documents").select("doc_id", F.array_distinct(grams.token_ngrams(strings.split_whitespace(F.lower("text")), 5)).alias("g"))
-    return d.select("doc_id", F.element_at(grams.minhash(F.col("g"), 4), 1).alias("m"))
+    return joins.near_duplicate_classes(_shingles(spark, sf_dir), id_col="doc_id", gram_col="g", threshold=0.8)
 
 
 @_query()
 def sketch_portable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _read(spark, sf_dir, "documents").select("doc_id", F.array_distinct(grams.token_ngrams(strings.split_whitespace(F.lower("text")), 5)).alias("g"))
-    return d.select("doc_id", sketches.one_permutation(_c("g"), 16).alias("o"), sketches.simhash(_c("g")).alias("s"))
+    d = _shingles(spark, sf_dir)
+    return d.select("doc_id", sketches.minhash(_c("g"), 16).alias("m"), sketches.one_permutation(_c("g"), 16).alias("o"), sketches.simhash(_c("g")).alias("s"))
 
 
 _scalar("collate_keys", "customer", "c_custkey", {"ci": lambda: collation.ascii_ci_key(_c("c_name")), "nat": lambda: collation.natural_key(_c("c_name")), "de2": lambda: collation.din5007_key(_c("c_name"), 2), "lib": lambda: collation.library_key(_c("c_name"))}, "lower(c_name) AS ci, array_to_string(list_transform(regexp_extract_all(c_name, '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN '0' || lpad(CAST(length(CAST(CAST(x AS BIGINT) AS VARCHAR)) AS VARCHAR), 10, '0') || CAST(CAST(x AS BIGINT) AS VARCHAR) ELSE x END), '') AS nat, lower(c_name) AS de2, regexp_replace(lower(c_name), '([0-9])', '{\\1', 'g') AS lib")
@@ -184,7 +169,7 @@ def sketch_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _read(spark, sf_dir, "part").select("p_partkey", F.split("p_name", "").alias("g"))
     n = multisets.gram_counts(p, id_col="p_partkey", gram_col="g")
     w = n.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("gram", _c("n").cast("double")))).alias("w"))
-    return w.select(_c("id").alias("p_partkey"), lsh.weighted_minhash(_c("w"), 8).alias("s")).select("p_partkey", F.sort_array("s.key").alias("keys"))
+    return w.select(_c("id").alias("p_partkey"), lsh.weighted_minhash(_c("w"), 8).alias("sketch"))
 
 
 @_query()
@@ -194,7 +179,7 @@ def wrap_reflow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def chunk_fastcdc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.fastcdc(_read(spark, sf_dir, "documents"), id_col="doc_id", text_col="text", least=256, average=1024, most=4096)
+    return chunking.fastcdc(_read(spark, sf_dir, "documents"), id_col="doc_id", text_col="text", cdc=chunking.Cdc.preset("8k"))
 
 
 @_query()

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomtext.functions import formats, grams, kernels, phonetic, strings
+from loomtext.functions import escapes, formats, grams, kernels, phonetic, strings
 from loomtext.operators import chunking, diff, joins
 
 
@@ -31,7 +31,7 @@ def test_strings(spark):
     assert value(spark, strings.to_case(lit("someHTTPName"), "snake")) == "some_http_name"
     assert value(spark, strings.replace_last(lit("a-b-c"), "-", "+")) == "a-b+c"
     assert value(spark, strings.split_lines(lit("a\r\nb\n"))) == ["a", "b"]
-    assert value(spark, strings.unescape_html(strings.escape_html(lit("<a&'b'>")))) == "<a&'b'>"
+    assert value(spark, escapes.unescape_html(strings.escape_html(lit("<a&'b'>")))) == "<a&'b'>"
     assert value(spark, strings.escape_json(lit('a"\n'))) == '\\"'.join(["a", ""]) + "\\n"
     assert value(spark, strings.classify_script(lit("Привет мир"))) == "Cyrl" and value(spark, strings.classify_script(lit("12"))) is None
 
@@ -72,7 +72,7 @@ def test_diff_and_chunks():
         x, y = ("".join(v + "\n" for v in s) for s in (a, b))
         assert diff.apply_unified(x, diff.unified(x, y)) == y
     data = bytes(r.randrange(256) for _ in range(40000))
-    ends = chunking.cut_points(data, 256, 1024, 4096)
+    ends = chunking.cut_points(data, chunking.Cdc.around(256, 1024, 4096))
     sizes = [b - a for a, b in zip([0, *ends], ends, strict=False)]
     assert ends[-1] == len(data) and max(sizes) <= 4096 and min(sizes[:-1]) >= 256
     assert all(len(p) <= 20 for p in chunking.split_recursive("word " * 40, 20))
