@@ -12,7 +12,8 @@ Scale: only distinct fingerprints are replicated, 34 narrow rows each at thresho
 all documents being copies is one fingerprint. At an anchor, links are folded into a spanning
 forest while rows stream by, hence at most one edge per row leaves, not one per pair. Anchors with over
 ``block_rows`` homes are dealt into chunks of homes, each compared with all visitors in its own
-task, so memory is bounded and nothing is skipped. Components come from ``components``. Rows get their component by fingerprint:
+task, so memory is bounded and nothing is skipped. Their table is broadcast: a fingerprint has one home a block of bits, and
+``block_rows`` grows with the fingerprints, so it has ``MOST_CROWDED`` rows a block of bits at most. Components come from ``components``. Rows get their component by fingerprint:
 those of crowded fingerprints from a bounded broadcast table (``spread``), so no task gets all copies of a text.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other; repeated
@@ -39,6 +40,7 @@ SHINGLE = 3
 THRESHOLD = 3
 SEED = 42
 BLOCK_ROWS = 1 << 14
+MOST_CROWDED = 500_000
 _PIECE = 1 << 16
 
 
@@ -167,10 +169,11 @@ def _forest_edges(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator
 
 def links(distinct: DataFrame, threshold: int = THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(u, v): edges between distinct fingerprints with the components of all links."""
+    block_rows = max(block_rows, distinct.count() // MOST_CROWDED)
     rep = replicate(distinct, threshold)
     crowded = replicate(distinct, threshold, only_home=True).groupBy("block", "anchor").count().where(F.col("count") > block_rows)
     crowded = crowded.select("block", "anchor", F.ceil(F.col("count") / block_rows).cast("int").alias("chunks"))
-    rep = rep.join(crowded, ["block", "anchor"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    rep = rep.join(F.broadcast(crowded), ["block", "anchor"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     # a home lies in one chunk and visits the others
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     dealt = rep.withColumn("own", own).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
