@@ -5,13 +5,17 @@ Each takes two string columns and gives null for a null argument.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType, IntegerType
 
+from loomtext.functions import batch_kernels
+
 
 def osa_distance(a: str, b: str) -> int:
     before, last = None, list(range(len(b) + 1))
@@ -116,14 +120,40 @@ def _column(kernel: Callable, kind: DataType):
     return F.pandas_udf(apply, kind)
 
 
-osa = _column(osa_distance, IntegerType())
-damerau = _column(damerau_distance, IntegerType())
+def _batch_column(run: Callable, kind: DataType):
+    """A Column function from one of two lists of texts."""
+
+    def apply(a: pd.Series, b: pd.Series) -> pd.Series:
+        known = np.flatnonzero((a.notna() & b.notna()).to_numpy())
+        out = np.full(len(a), None, dtype=object)
+        if len(known):
+            out[known] = run(a.iloc[known].tolist(), b.iloc[known].tolist()).tolist()
+        return pd.Series(out)
+
+    return F.pandas_udf(apply, kind)
+
+
+_jaro_of = batch_kernels.batched(batch_kernels.jaro, np.float64)
+
+
+def _jaro_winkler_of(prefix: int, scale: float, boost_from: float) -> Callable:
+    def run(a: list[str], b: list[str]) -> np.ndarray:
+        base = _jaro_of(a, b)
+        same = np.array([len(os.path.commonprefix((x[:prefix], y[:prefix]))) for x, y in zip(a, b, strict=True)])
+        return np.where(base >= boost_from, base + same * scale * (1 - base), base)
+
+    return run
+
+
+# The functions of two texts above are what these are held against.
+osa = _batch_column(batch_kernels.batched(batch_kernels.osa, np.int64), IntegerType())
+damerau = _batch_column(batch_kernels.batched(batch_kernels.damerau, np.int64), IntegerType())
 lcs = _column(lcs_length, IntegerType())
-jaro_sim = _column(jaro, DoubleType())
-jaro_winkler_sim = _column(jaro_winkler, DoubleType())
-jaro_winkler_boosted_sim = _column(lambda a, b: jaro_winkler(a, b, 0.7), DoubleType())
-nw_score = _column(needleman_wunsch, IntegerType())
-sw_score = _column(smith_waterman, IntegerType())
+jaro_sim = _batch_column(_jaro_of, DoubleType())
+jaro_winkler_sim = _batch_column(_jaro_winkler_of(4, 0.1, 0.0), DoubleType())
+jaro_winkler_boosted_sim = _batch_column(_jaro_winkler_of(4, 0.1, 0.7), DoubleType())
+nw_score = _batch_column(batch_kernels.batched(batch_kernels.needleman_wunsch(), np.int64), IntegerType())
+sw_score = _batch_column(batch_kernels.batched(batch_kernels.smith_waterman(), np.int64), IntegerType())
 
 
 def lcs_distance(a: Column, b: Column) -> Column:
@@ -180,11 +210,4 @@ def jaro_winkler_custom(a: Column, b: Column, *, prefix: int = 4, scale: float =
     """``prefix`` times ``scale`` may not pass 1, so the result stays in [0, 1]."""
     if not 0 <= prefix * scale <= 1 or not 0 <= boost_from <= 1:
         raise ValueError("prefix * scale and boost_from lie in [0, 1]")
-
-    def one(x: str, y: str) -> float:
-        base, same = jaro(x, y), 0
-        while same < min(prefix, len(x), len(y)) and x[same] == y[same]:
-            same += 1
-        return base + same * scale * (1 - base) if base >= boost_from else base
-
-    return _column(one, DoubleType())(a, b)
+    return _batch_column(_jaro_winkler_of(prefix, scale, boost_from), DoubleType())(a, b)

@@ -465,7 +465,8 @@ def slugify(c: Column, separator: str = "-", max_len: int | None = None) -> Colu
 
 
 def collapse_whitespace(c: Column, strip: bool = True) -> Column:
-    out = F.regexp_replace(c, f"{WHITE}+", " ")
+    # a blank by itself is left where it is, so there is nothing to put together for most words
+    out = F.regexp_replace(c, f" {WHITE}+|(?=[^ ]){WHITE}+", " ")
     return F.trim(out) if strip else out
 
 

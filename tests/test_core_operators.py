@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtext import registry
-from loomtext.functions import formats, kernels, learned, phonetic, rolling, sketches
+from loomtext.functions import batch_kernels, formats, kernels, learned, phonetic, rolling, sketches
 from loomtext.operators import chunking, components, diff, joins
 
 M64 = (1 << 64) - 1
@@ -167,3 +167,16 @@ def test_simhash_128(spark):
     assert got[0] == got[1] and tuple(got[2]) == (0, 0) and got[3] is None
     weighted = spark.createDataFrame([({"a": 1, "b": 2},)], "m map<string,bigint>").select(sketches.simhash_128(F.col("m"))).first()[0]
     assert weighted == got[0]
+
+
+def test_batches_equal_pairs_one_by_one():
+    r = random.Random(8)
+    draw = lambda: "".join(r.choice("abcé中😀") for _ in range(r.randrange(14)))
+    pairs = [(draw(), draw()) for _ in range(600)] + [("", ""), ("", "a"), ("a", ""), ("ca", "abc"), ("a" * 300, "ab" * 150)]
+    left, right = [a for a, _ in pairs], [b for _, b in pairs]
+    for batch, one, kind in (
+        (batch_kernels.osa, kernels.osa_distance, int), (batch_kernels.damerau, kernels.damerau_distance, int), (batch_kernels.lcs, kernels.lcs_length, int), (batch_kernels.jaro, kernels.jaro, float),
+        (batch_kernels.needleman_wunsch(), kernels.needleman_wunsch, int), (batch_kernels.smith_waterman(2, -3, -2), lambda a, b: kernels.smith_waterman(a, b, 2, -3, -2), int),
+    ):
+        assert batch_kernels.batched(batch, kind)(left, right).tolist() == pytest.approx([one(a, b) for a, b in pairs], abs=1e-12)
+    assert batch_kernels.batched(batch_kernels.osa, int)([], []).tolist() == []
