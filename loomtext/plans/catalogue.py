@@ -81,13 +81,20 @@ def join_qgram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.jaccard_join(sets(c), sets(s), id_col="name", gram_col="grams", threshold=0.8).withColumn("jaccard_sim", F.round("jaccard_sim", 9))
 
 
-@_query("SELECT c.c_custkey AS l_id, s.s_suppkey AS r_id, CAST(levenshtein(substr(c_name, 10), substr(s_name, 10)) AS INT) AS lev_dist FROM customer c, supplier s WHERE levenshtein(substr(c_name, 10), substr(s_name, 10)) <= 1")
+@_query("SELECT c_custkey AS l_id, s_suppkey AS r_id, CAST(levenshtein(c_name, replace(s_name, 'Supplier', 'Customer')) AS INT) AS lev_dist FROM customer, supplier WHERE levenshtein(c_name, replace(s_name, 'Supplier', 'Customer')) <= 1")
 def join_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.substring("c_name", F.lit(10), F.length("c_name")).alias("name"))
-    s = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.substring("s_name", F.lit(10), F.length("s_name")).alias("name"))
+    c = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    s = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.replace("s_name", F.lit("Supplier"), F.lit("Customer")).alias("name"))
     return joins.edit_join(c, s, id_col="id", text_col="name", distance=1)
 
 
+@_query("WITH c AS (SELECT c_custkey AS id, lower(c_mktsegment) || c_custkey AS t FROM customer), s AS (SELECT s_suppkey AS id, 'household' || s_suppkey AS t FROM supplier) SELECT c.id AS l_id, s.id AS r_id, CAST(levenshtein(c.t, s.t) AS INT) AS lev_dist FROM c, s WHERE levenshtein(c.t, s.t) <= 2")
+def join_edit_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lower("c_mktsegment"), F.col("c_custkey").cast("string")).alias("t"))
+    s = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("household"), F.col("s_suppkey").cast("string")).alias("t"))
+    return joins.edit_join(c, s, id_col="id", text_col="t", distance=2)
+
+
 @_query("WITH n AS (SELECT doc_id, len(list_distinct(regexp_extract_all(text, '\\S+'))) AS k FROM documents) SELECT k, count(*) AS n FROM n GROUP BY k")
 def agg_distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _read(spark, sf_dir, "documents").select(F.size(F.array_distinct(strings.split_whitespace(_c("text")))).cast("long").alias("k"))

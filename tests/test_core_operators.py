@@ -180,3 +180,13 @@ def test_batches_equal_pairs_one_by_one():
     ):
         assert batch_kernels.batched(batch, kind)(left, right).tolist() == pytest.approx([one(a, b) for a, b in pairs], abs=1e-12)
     assert batch_kernels.batched(batch_kernels.osa, int)([], []).tolist() == []
+
+
+def test_edit_join_by_brute_force(spark):
+    r = random.Random(3)
+    rows = [(i, "".join(r.choice("ab") for _ in range(r.randrange(6)))) for i in range(60)] + [(99, None), (100, "")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    for k in (1, 2):
+        got = {(x.l_id, x.r_id): x.lev_dist for x in joins.edit_join(df, df, id_col="id", text_col="t", distance=k).collect()}
+        far = lambda a, b: len(a) + len(b) if not a or not b else min(far(a[1:], b) + 1, far(a, b[1:]) + 1, far(a[1:], b[1:]) + (a[0] != b[0]))
+        assert got == {(i, j): d for i, a in rows for j, b in rows if a is not None and b is not None and (d := far(a, b)) <= k}
