@@ -7,8 +7,8 @@ Method: 8-word anchors are hashed only at positions p with p mod 13 in {0, 1, 3,
 difference cover: for any two positions of an equal 20-word window some shift of up to 12
 words puts both on it, and the 8 words from there still lie inside the window, so equal windows
 share an aligned anchor. Anchors found twice or more send their documents' positions to the second
-step, which extends them to the windows that hold them, digests these (128 bits, from a 128-bit digest of each word), and ranks
-the holders of each digest. Two different windows among 10^13 have equal digests with a chance under 10^-12.
+step, which extends them to the windows that hold them, digests these (96 bits, from a 128-bit digest of each word), and ranks
+the holders of each digest. Any two different windows among 10^13 have equal digests with a chance under 10^-3.
 
 Scale: documents are dealt once into chunks of about ``chunk_bytes`` by a hash of the text, salted for
 texts with many copies or many bytes in copies, so no chunk grows with them; this one exchange of the text serves all three passes.
@@ -103,8 +103,8 @@ class _Chunk:
         self.hashes = [high[n] for n in numbers]
 
     def windows(self, i: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Both halves of the digests of all windows of a document."""
-        return _rolled(self.hashes[i], length), _rolled(self._low[self._numbers[i]], length)
+        """64 and 32 bits of the digests of all windows of a document."""
+        return _rolled(self.hashes[i], length), _rolled(self._low[self._numbers[i]], length) >> np.uint64(32)
 
     def anchors(self, anchor: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         for i, h in enumerate(self.hashes):
@@ -168,7 +168,7 @@ def _window_rows(key: tuple, table: pa.Table, shared: pa.Table, window: int, anc
     more = np.concatenate((np.full(len(fr), -1), ls[z] - ls[a])).astype(np.int32)
     # a run that only needs to get home is dealt by its place
     out_h = np.concatenate((fh, _mixed(at[len(fr) :].view(np.uint64) + np.uint64(key[0].as_py())))).view(np.int64)
-    out_g = np.concatenate((fg, np.zeros(len(a), np.uint64))).view(np.int64)
+    out_g = np.concatenate((fg, np.zeros(len(a), np.uint64))).astype(np.uint32).view(np.int32)
     id_type = table.schema.field("doc_id").type
     ids = pa.array(chunk.ids, id_type).take(pa.array(out_row)) if len(out_row) else pa.array([], id_type)
     return pa.table([pa.array(out_h), pa.array(out_g), ids, pa.array(np.full(len(out_row), key[0].as_py(), np.int64)), pa.array(at), pa.array(more)], names=names)
@@ -227,7 +227,7 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW, chunk_bytes: int =
     both = W.partitionBy("h")
     shared = anchors.withColumn("total", F.sum("n").over(both)).where("total > 1").select("chunk", "h")
 
-    schema = f"h long, g long, doc_id {id_type}, chunk long, at long, more int"
+    schema = f"h long, g int, doc_id {id_type}, chunk long, at long, more int"
     windows = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(lambda key, t, s: _window_rows(key, t, s, window, anchor), schema)
     known = F.col("more") >= 0
     rank = F.rank().over(W.partitionBy("h", "g", known).orderBy(F.col("doc_id").asc_nulls_last(), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))))
