@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.functions import alignment, collation, escapes, formats, grams, kernels, lsh, multisets, phonetic, sketches, strings, tokens, unicode, wrapping
-from loomtext.operators import chunking, diff, joins, nearest
+from loomtext.functions import collation, escapes, formats, grams, kernels, lsh, multisets, sketches, strings, tokens, unicode, wrapping
+from loomtext.operators import chunking, joins, nearest
 from loomtext.plans import languages, patterns, segments, sequences, texts
 from loomtext.plans.base import ORACLES as _ORACLES
 from loomtext.plans.base import QUERIES as _QUERIES
@@ -64,8 +64,6 @@ _pair("dist_damerau", {"d": lambda: kernels.damerau("x", "y")}, "CAST(damerau_le
 _pair("sim_jaro", {"s": lambda: F.round(kernels.jaro_sim("x", "y"), 9)}, "round(jaro_similarity(x, y), 9) AS s")
 _pair("sim_jaro_winkler", {"s": lambda: F.round(kernels.jaro_winkler_boosted_sim("x", "y"), 9)}, "round(jaro_winkler_similarity(x, y), 9) AS s")
 _pair("sim_sets", {"j": lambda: F.round(grams.jaccard(_grams2("x"), _grams2("y")), 9), "d": lambda: F.round(grams.dice(_grams2("x"), _grams2("y")), 9), "o": lambda: F.round(grams.overlap(_grams2("x"), _grams2("y")), 9)}, f"round(len(list_intersect({_gx}, {_gy})) / len(list_distinct({_gx} || {_gy})), 9) AS j, round(2 * len(list_intersect({_gx}, {_gy})) / (len({_gx}) + len({_gy})), 9) AS d, round(len(list_intersect({_gx}, {_gy})) / least(len({_gx}), len({_gy})), 9) AS o")
-_pair("align_affine", {"nw": lambda: alignment.score_column(_c("x"), _c("y")), "sw": lambda: alignment.score_column(_c("x"), _c("y"), local=True)}, None)
-_pair("align_script", {"n": lambda: F.size(F.filter(alignment.align_column(_c("x"), _c("y"))["script"], lambda s: s["op"] != "keep"))}, None)
 
 
 _PHRASE = "lower(c_mktsegment) || ' ' || regexp_replace(lower(c_name), '#0*', ' ')"
@@ -127,10 +125,30 @@ def sketch_minhash_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.near_duplicate_classes(_shingles(spark, sf_dir), id_col="doc_id", gram_col="g", threshold=0.8)
 
 
-@_query()
+_SLOTS = ", ".join(f"({i}, {int(x)}::UHUGEINT)" for i, x in enumerate(sketches._slots(0, 64)))
+# FNV-1a and SplitMix64 in SQL, on unsigned 128-bit numbers that are cut to 64 bits
+_CUT = "18446744073709551616::UHUGEINT"
+_PORTABLE = f"""WITH g AS (SELECT p_partkey AS doc_id, unnest(list_distinct(list_transform(range(1, length(p_name) - 1), lambda i: substr(p_name, CAST(i AS INT), 3)))) AS g FROM part),
+b AS (SELECT doc_id, list_reduce([{int(sketches._FNV_BASIS)}::UHUGEINT] || list_transform(range(1, strlen(g) + 1), lambda i: ('0x' || substr(hex(encode(g)), CAST(2 * i - 1 AS INT), 2))::INT::UHUGEINT), lambda h, x: (xor(h, x) * {int(sketches._FNV_PRIME)}::UHUGEINT) % {_CUT}) AS base FROM g),
+h AS (SELECT doc_id, i, xor(base, p) AS x FROM b, (VALUES {_SLOTS}) s(i, p)),
+z1 AS (SELECT doc_id, i, (x + {0x9E3779B97F4A7C15}::UHUGEINT) % {_CUT} AS z FROM h),
+z2 AS (SELECT doc_id, i, (xor(z, z >> 30) * {0xBF58476D1CE4E5B9}::UHUGEINT) % {_CUT} AS z FROM z1),
+z3 AS (SELECT doc_id, i, (xor(z, z >> 27) * {0x94D049BB133111EB}::UHUGEINT) % {_CUT} AS z FROM z2),
+z4 AS (SELECT doc_id, i, xor(z, z >> 31) AS z FROM z3),
+s AS (SELECT doc_id, i, min(z) AS least, 2 * sum(CASE WHEN z >= 9223372036854775808::UHUGEINT THEN 1 ELSE 0 END) >= count(*) AS vote FROM z4 GROUP BY ALL),
+o AS (SELECT doc_id, string_agg(CAST(CASE WHEN least >= 9223372036854775808::UHUGEINT THEN least::HUGEINT - 18446744073709551616::HUGEINT ELSE least::HUGEINT END AS VARCHAR), ',' ORDER BY i) FILTER (WHERE i < 16) AS m, string_agg(CASE WHEN vote THEN '1' ELSE '0' END, '' ORDER BY i DESC) AS s FROM s GROUP BY doc_id)
+SELECT doc_id, m, s FROM o"""
+
+
+@_query(_PORTABLE)
 def sketch_portable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _shingles(spark, sf_dir)
-    return d.select("doc_id", sketches.minhash(_c("g"), 16).alias("m"), sketches.one_permutation(_c("g"), 16).alias("o"), sketches.simhash(_c("g")).alias("s"))
+    d = _read(spark, sf_dir, "part").select(_c("p_partkey").alias("doc_id"), F.array_distinct(grams.char_ngrams(_c("p_name"), 3)).alias("g"))
+    return d.select("doc_id", F.array_join(sketches.minhash(_c("g"), 16), ",").alias("m"), F.lpad(F.bin(sketches.simhash(_c("g"))), 64, "0").alias("s"))
+
+
+@_query()
+def sketch_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shingles(spark, sf_dir).select("doc_id", sketches.one_permutation(_c("g"), 16).alias("o"))
 
 
 _scalar("collate_keys", "customer", "c_custkey", {"ci": lambda: collation.ascii_ci_key(_c("c_name")), "nat": lambda: collation.natural_key(_c("c_name")), "de2": lambda: collation.din5007_key(_c("c_name"), 2), "lib": lambda: collation.library_key(_c("c_name"))}, "lower(c_name) AS ci, array_to_string(list_transform(regexp_extract_all(c_name, '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN '0' || lpad(CAST(length(CAST(CAST(x AS BIGINT) AS VARCHAR)) AS VARCHAR), 10, '0') || CAST(CAST(x AS BIGINT) AS VARCHAR) ELSE x END), '') AS nat, lower(c_name) AS de2, regexp_replace(lower(c_name), '([0-9])', '{\\1', 'g') AS lib")
@@ -164,11 +182,15 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(items.where("vec_id % 100 = 0"), items, id_col="vec_id", vector_col="embedding", k=5)
 
 
-@_query()
+#: The embeddings' size; the query's SQL holds the coefficients drawn for it.
+_DIM = 64
+_DRAWN, _SHIFT = lsh.projection(_DIM, 4.0)
+_DOT = f"list_sum(list_transform(embedding, lambda v, i: v::DOUBLE * {list(_DRAWN)}[i]))"
+
+
+@_query(f"SELECT vec_id, CASE WHEN len(embedding) = {_DIM} THEN CAST(floor(({_DOT} + {_SHIFT!r}) / 4.0) AS BIGINT) END AS bucket FROM embeddings")
 def sketch_p_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _read(spark, sf_dir, "embeddings")
-    dim = e.select(F.size("embedding").alias("n")).where("n > 0").first()
-    return e.select("vec_id", lsh.p_stable_bucket(_c("embedding"), dim.n if dim else 1, 4.0).alias("bucket"))
+    return _read(spark, sf_dir, "embeddings").select("vec_id", lsh.p_stable_bucket(_c("embedding"), _DIM, 4.0).alias("bucket"))
 
 
 @_query()

@@ -21,6 +21,11 @@ _OSA = """CAST(list_last(list_reduce([list_transform(range(0, 2 * length(y) + 2)
 pair("dist_osa", {"d": lambda: kernels.osa("x", "y"), "near": lambda: kernels.osa_within(_c("x"), _c("y"), 12)}, f"{_OSA} AS d, CASE WHEN {_OSA} <= 12 THEN {_OSA} END AS near")
 pair("dist_lcs", {"n": lambda: kernels.lcs("x", "y"), "d": lambda: kernels.lcs_distance(_c("x"), _c("y"))}, f"{_LCS} AS n, CAST(length(x) + length(y) - 2 * {_LCS} AS INT) AS d")
 pair("align_scores", {"nw": lambda: kernels.nw_score("x", "y"), "sw": lambda: kernels.sw_score("x", "y")}, f"{_NW} AS nw, {_SW} AS sw")
+# with a gap of -1 to open and -1 for each letter; a second list holds the scores that end in a deletion
+_AFFINE = """CAST(list_reduce([[0] || list_transform(range(1, length(y) + 1), lambda j: -1 - j) || list_transform(range(0, length(y) + 1), lambda j: -1000000)] || list_transform(string_split(x, ''), lambda p: list_transform(string_split(y, ''), lambda q: CASE WHEN p = q THEN 1 ELSE -1 END)), lambda s, m: [CASE WHEN s[1] = 0 THEN -2 ELSE s[1] - 1 END] || list_transform(range(1, length(y) + 1), lambda j: greatest(greatest(s[j] + m[j], s[length(y) + 2 + j] - 1, s[j + 1] - 2), CASE WHEN s[1] = 0 THEN -2 ELSE s[1] - 1 END - 1 - j, coalesce(list_max(list_transform(range(1, j), lambda k: greatest(s[k] + m[k], s[length(y) + 2 + k] - 1, s[k + 1] - 2) - 1 - (j - k))), -1000000))) || [-1000000] || list_transform(range(1, length(y) + 1), lambda k: greatest(s[length(y) + 2 + k] - 1, s[k + 1] - 2)))[length(y) + 1] AS INT)"""
+_AFFINE_LOCAL = """CAST(list_last(list_reduce([list_transform(range(0, length(y) + 1), lambda j: 0) || list_transform(range(0, length(y) + 1), lambda j: -1000000) || [0]] || list_transform(string_split(x, ''), lambda p: list_transform(string_split(y, ''), lambda q: CASE WHEN p = q THEN 1 ELSE -1 END)), lambda s, m: [0] || list_transform(range(1, length(y) + 1), lambda j: greatest(0, greatest(s[j] + m[j], s[length(y) + 2 + j] - 1, s[j + 1] - 2), 0 - 1 - j, coalesce(list_max(list_transform(range(1, j), lambda k: greatest(s[k] + m[k], s[length(y) + 2 + k] - 1, s[k + 1] - 2) - 1 - (j - k))), -1000000))) || [-1000000] || list_transform(range(1, length(y) + 1), lambda k: greatest(s[length(y) + 2 + k] - 1, s[k + 1] - 2)) || [greatest(s[2 * length(y) + 3], list_max(list_transform(range(1, length(y) + 1), lambda j: greatest(0, greatest(s[j] + m[j], s[length(y) + 2 + j] - 1, s[j + 1] - 2), 0 - 1 - j, coalesce(list_max(list_transform(range(1, j), lambda k: greatest(s[k] + m[k], s[length(y) + 2 + k] - 1, s[k + 1] - 2) - 1 - (j - k))), -1000000)))))])) AS INT)"""
+pair("align_affine", {"nw": lambda: alignment.score_column(_c("x"), _c("y")), "sw": lambda: alignment.score_column(_c("x"), _c("y"), local=True)}, f"{_AFFINE} AS nw, {_AFFINE_LOCAL} AS sw")
+pair("align_script", {"score": lambda: alignment.align_column(_c("x"), _c("y"))["score"], "a": lambda: alignment.extract(alignment.align_column(_c("x"), _c("y"))["script"], "a"), "b": lambda: alignment.extract(alignment.align_column(_c("x"), _c("y"))["script"], "b"), "local": lambda: F.contains(_c("x"), alignment.extract(alignment.align_column(_c("x"), _c("y"), local=True)["script"], "a"))}, f"{_AFFINE} AS score, x AS a, y AS b, true AS local")
 pair("align_linear", {"nw": lambda: alignment.score_column(_c("x"), _c("y"), alignment.LINEAR), "sw": lambda: alignment.score_column(_c("x"), _c("y"), alignment.LINEAR, local=True), "script": lambda: alignment.align_column(_c("x"), _c("y"), alignment.LINEAR)["score"], "a": lambda: alignment.extract(alignment.align_column(_c("x"), _c("y"), alignment.LINEAR)["script"], "a")}, f"{_NW} AS nw, {_SW} AS sw, {_NW} AS script, x AS a")
 pair("dist_bytes", {"lev": lambda: kernels.levenshtein_bytes(F.concat(F.lit("é"), "x"), F.concat(F.lit("e"), "y")), "osa": lambda: kernels.osa_bytes(F.concat(F.lit("é"), "x"), F.concat(F.lit("ê"), "x")), "ham": lambda: grams.hamming(kernels.as_bytes(_c("x")), kernels.as_bytes(F.concat(F.left("x", F.length("x") - 1), F.lit("!")))), "cut": lambda: kernels.within(F.levenshtein("x", "y"), 15)}, "CAST(levenshtein('é' || x, 'e' || y) AS INT) AS lev, CAST(1 AS INT) AS osa, CAST(CASE WHEN right(x, 1) = '!' THEN 0 ELSE 1 END AS INT) AS ham, CASE WHEN levenshtein(x, y) <= 15 THEN CAST(levenshtein(x, y) AS INT) END AS cut")
 pair("sim_jaro_custom", {"s": lambda: F.round(kernels.jaro_winkler_custom(_c("x"), _c("y"), boost_from=0.7), 9), "c": lambda: F.round(kernels.jaro_winkler_sim("x", "y"), 9) >= F.round(kernels.jaro_sim("x", "y"), 9)}, "round(jaro_winkler_similarity(x, y), 9) AS s, true AS c")
@@ -110,3 +115,16 @@ def learned_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     uniform, fitted = learned.LearnedModel.uniform("s#0123456789"), learned.train(p, source_col="a", target_col="b", alphabet="s#0123456789", rounds=3)
     return spark.createDataFrame([(abs(fitted.mass() - 1) < 1e-9, fitted.distance("s#001", "s#002") < uniform.distance("s#001", "s#002"), fitted.cost(("s", "s")) < fitted.cost(("s", "0")))], "mass boolean, better boolean, identity boolean")
 
+
+
+_TURNS = "(SELECT a.conv_id, a.turn, regexp_replace(a.text, '[^\\x00-\\x7F]', '', 'g') AS x, regexp_replace(b.text, '[^\\x00-\\x7F]', '', 'g') AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn)"
+
+
+@query(f"SELECT conv_id, turn, CAST(levenshtein(x, y) AS INT) AS lev, round(CASE WHEN x = '' AND y = '' THEN 1.0 ELSE jaro_similarity(x, y) END, 9) AS jaro FROM {_TURNS}")
+def dist_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of each turn of a conversation to the next: pairs of whole texts, some hundred letters long."""
+    plain = F.regexp_replace("text", "[^\\x00-\\x7F]", "")
+    t = read(spark, sf_dir, "conversations").select("conv_id", "turn", plain.alias("t"))
+    nxt = t.select("conv_id", (_c("turn") - 1).alias("turn"), _c("t").alias("y"))
+    both = t.withColumnRenamed("t", "x").join(nxt, ["conv_id", "turn"])
+    return both.select("conv_id", "turn", F.levenshtein("x", "y").alias("lev"), F.round(kernels.jaro_sim("x", "y"), 9).alias("jaro"))

@@ -25,6 +25,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of files over all cores, where it is so small that its files make fewer parts than that; larger ones as they are.
+
+    Parts of a scan have ``spark.sql.files.openCostInBytes`` at least, and a file of one row group is read by one task whatever its parts.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    part = spark._jsparkSession.sessionState().conf().filesOpenCostInBytes()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if part // 8 < size < cores * part else df
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset and the master is local (tests), a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
