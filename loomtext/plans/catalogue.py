@@ -69,14 +69,14 @@ _pair("sim_sets", {"j": lambda: F.round(grams.jaccard(_grams2("x"), _grams2("y")
 _PHRASE = "lower(c_mktsegment) || ' ' || regexp_replace(lower(c_name), '#0*', ' ')"
 
 
-@_query(f"WITH t AS (SELECT DISTINCT {_PHRASE} AS x, {_G.format('(' + _PHRASE + ')')} AS g FROM customer), s AS (SELECT DISTINCT regexp_replace(lower(s_name), 'supplier#0*', 'building customer ') AS y, list_distinct(list_transform(range(1, length(regexp_replace(lower(s_name), 'supplier#0*', 'building customer '))), lambda i: substr(regexp_replace(lower(s_name), 'supplier#0*', 'building customer '), CAST(i AS INT), 2))) AS h FROM supplier) SELECT x AS l_id, y AS r_id, round(len(list_intersect(g, h)) / len(list_distinct(g || h)), 9) AS jaccard_sim FROM t, s WHERE len(list_intersect(g, h)) / len(list_distinct(g || h)) >= 0.8")
+@_query(f"WITH t AS (SELECT DISTINCT {_PHRASE} AS x, {_G.format('(' + _PHRASE + ')')} AS g FROM customer), s AS (SELECT DISTINCT regexp_replace(lower(s_name), 'supplier#0*', 'building customer ') AS y, list_distinct(list_transform(range(1, length(regexp_replace(lower(s_name), 'supplier#0*', 'building customer '))), lambda i: substr(regexp_replace(lower(s_name), 'supplier#0*', 'building customer '), CAST(i AS INT), 2))) AS h FROM supplier) SELECT x AS l_id, y AS r_id, round(len(list_intersect(g, h)) / len(list_distinct(g || h)), 9) AS jaccard_sim FROM t, s WHERE len(list_intersect(g, h)) / len(list_distinct(g || h)) >= 0.9")
 def join_qgram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's segment and number against suppliers put in the same words: tables that grow, with grams that most rows share."""
     phrase = F.concat(F.lower("c_mktsegment"), F.lit(" "), F.regexp_replace(F.lower("c_name"), "#0*", " "))
     c = _read(spark, sf_dir, "customer").select(phrase.alias("name")).distinct()
     s = _read(spark, sf_dir, "supplier").select(F.regexp_replace(F.lower("s_name"), "supplier#0*", "building customer ").alias("name")).distinct()
     sets = lambda df: df.select("name", grams.char_ngrams(F.col("name"), 2).alias("grams"))
-    return joins.jaccard_join(sets(c), sets(s), id_col="name", gram_col="grams", threshold=0.8).withColumn("jaccard_sim", F.round("jaccard_sim", 9))
+    return joins.jaccard_join(sets(c), sets(s), id_col="name", gram_col="grams", threshold=0.9).withColumn("jaccard_sim", F.round("jaccard_sim", 9))
 
 
 @_query("SELECT c_custkey AS l_id, s_suppkey AS r_id, CAST(levenshtein(c_name, replace(s_name, 'Supplier', 'Customer')) AS INT) AS lev_dist FROM customer, supplier WHERE levenshtein(c_name, replace(s_name, 'Supplier', 'Customer')) <= 1")
