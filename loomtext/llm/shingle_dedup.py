@@ -13,6 +13,9 @@ Members of one signature that stay in different components are all held against
 ``BITS`` parities: these differ in at most as many bits as the sets in elements, so what they rule out is never near,
 and few pairs leave the task to be verified. Those comparisons grow with the square of such a group.
 
+Disk: at most the rows of the classes and one more step's exchange lie there at a time, since steps are written, their exchanges
+go when they end, and narrow tables are deleted after their last use.
+
 Edge cases: null and empty texts are one class; a text under ``SHINGLE`` words is one shingle; sets are of 64-bit
 hashes and classes are named by 64 bits.
 """
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from loomtext.functions.sketches import splitmix
 from loomtext.llm.components import connected_components
 from loomtext.llm.text import lower_words
-from loomtext.session import materialise
+from loomtext.session import discard, materialise
 
 SHINGLE = 5
 BITS = 1024
@@ -196,7 +199,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             near = [is_near(known(x.as_py()), known(y.as_py())) for x, y in zip(batch["x"], batch["y"], strict=True)]
             yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
 
-    return materialise(both.mapInArrow(step, "u long, v long"), "near-pairs")
+    near = materialise(both.mapInArrow(step, "u long, v long"), "near-pairs")
+    discard(pairs)
+    return near
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +228,10 @@ def near_edges(texts: DataFrame) -> DataFrame:
     stars = verified(_likely(shared.where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct(), known), texts)
     rooted = shared.join(connected_components(stars), "node", "left").join(known, "node").select("sig", "node", "least", F.coalesce("root", "node").alias("root"), "n", "bits")
     left = rooted.repartition("sig").sortWithinPartitions("sig").mapInArrow(_across, "u long, v long").distinct()
-    return stars.unionAll(verified(left, texts))
+    edges = stars.unionAll(verified(left, texts))
+    discard(shared)
+    discard(known)
+    return edges
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
