@@ -1,6 +1,9 @@
-r"""Near-duplicates by the Jaccard similarity of word-shingle sets, complete and exact at 0.8.
+r"""Near-duplicates by SimHash and, past its bits, by the shingle sets themselves: complete and exact at Jaccard similarity 0.8.
 
-Texts with equal sets are one class. Two sets x, y at 4/5 or more differ in at most |x|/4 elements
+Texts with equal sets of word shingles are one class. A class has the SimHash fingerprint of its set; fingerprints that
+link at ``simhash_dedup.THRESHOLD`` bits are found by anchors, and each link is verified on the sets, so that only pairs at 0.8 or more count.
+
+Near texts can lie further apart than those bits, so a search on the sets follows, which is complete by itself. Two sets x, y at 4/5 or more differ in at most |x|/4 elements
 (|x| <= |y|), and |y| is in the size level of x or the next one. Per level, hashes are cut by value into so many
 parts that even with that many differences some parts are equal, and more of them than are empty in x or y; a class
 emits one signature per non-empty part for its own level and the one below. A set with too many empty parts for
@@ -8,7 +11,8 @@ this also emits its prefix (the least n - ceil(4n/5) + 1 hashes), on which two s
 pair at 0.8 shares a signature. Pairs are then verified on the sets themselves.
 
 Round 1 verifies each member of a signature against the least one and forms components. Round 2 verifies the
-remaining pairs whose ends are in different components, so a group of copies costs a star, not all pairs.
+remaining pairs whose ends are in different components, so a group of copies costs a star, not all pairs; nor does a round verify pairs
+that links before it joined.
 Members of one signature that stay in different components are all held against each other, but only by size and by
 ``BITS`` parities: these differ in at most as many bits as the sets in elements, so what they rule out is never near,
 and few pairs leave the task to be verified. Those comparisons grow with the square of such a group.
@@ -32,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions.sketches import splitmix
+from loomtext.llm import simhash_dedup
 from loomtext.llm.components import connected_components
 from loomtext.llm.text import lower_words
 from loomtext.session import discard, materialise
@@ -102,22 +107,21 @@ def signatures(x: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _node(raw: bytes | None) -> int:
-    return xxhash.xxh64_intdigest(shingle_set(raw).tobytes())
-
-
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row a class: _node, _rank, _text and the whole row _doc with the least id (null last) and text hash."""
+    """One row a class: _node, _fp, _rank, _text and the whole row _doc with the least id (null last) and text hash."""
 
-    def nodes(text: pa.Array) -> pa.Array:
-        return pa.array(np.array([_node(x.as_py()) for x in text], np.uint64).view(np.int64))
+    def sketches(text: pa.Array) -> pa.Array:
+        sets = [shingle_set(x.as_py()) for x in text]
+        found = [[xxhash.xxh64_intdigest(x.tobytes()) for x in sets], [simhash_dedup.fold(x) for x in sets]]
+        return pa.StructArray.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in found], names=["node", "fp"])
 
     keyed = docs.select(
-        F.arrow_udf(nodes, "long")(F.col(text_col).cast("binary")).alias("_node"),
+        F.arrow_udf(sketches, "struct<node:long,fp:long>")(F.col(text_col).cast("binary")).alias("_set"),
         F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash")).alias("_rank"),
         F.struct(*docs.columns).alias("_doc"),
     )
-    return materialise(keyed.groupBy("_node").agg(F.min("_rank").alias("_rank"), F.min_by("_doc", "_rank").alias("_doc")), "shingle-classes")
+    firsts = keyed.groupBy("_set").agg(F.min("_rank").alias("_rank"), F.min_by("_doc", "_rank").alias("_doc"))
+    return materialise(firsts.select(F.col("_set.node").alias("_node"), F.col("_set.fp").alias("_fp"), "_rank", "_doc"), "shingle-classes")
 
 
 def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -204,6 +208,26 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return near
 
 
+def simhash_edges(texts: DataFrame) -> DataFrame:
+    """(u, v) of classes (_node, _fp, _text) at 0.8 or more, among those that equal fingerprints or their links join."""
+    least = materialise(texts.groupBy("_fp").agg(F.min("_node").alias("least")), "fingerprints")
+    equal = texts.select("_node", "_fp").join(least, "_fp").where("_node <> least").select(F.col("least").alias("u"), F.col("_node").alias("v"))
+    end = lambda name: least.select(F.col("_fp").alias(f"fp_{name}"), F.col("least").alias(name))
+    linked = simhash_dedup.links(least.select(F.col("_fp").alias("fp"))).select(F.col("u").alias("fp_u"), F.col("v").alias("fp_v"))
+    linked = linked.join(end("u"), "fp_u").join(end("v"), "fp_v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    near = verified(equal.unionAll(linked).distinct(), texts)
+    discard(least)
+    return near
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose ends aren't in one component (node, root)."""
+    side = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    return pairs.join(side("u"), "u", "left").join(side("v"), "v", "left").where("u_root is null or v_root is null or u_root <> v_root").select("u", "v")
+
+
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Likely pairs within a signature whose ends are in different components, without those with the least member."""
     for (sig, node, least, root, n, bits), start in _groups(batches, ["sig", "node", "least", "root", "n", "bits"]):
@@ -222,10 +246,12 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_edges(texts: DataFrame) -> DataFrame:
-    """(u, v): verified edges with the components of all pairs at 0.8 or more."""
+    """(u, v): verified edges with the components of all pairs of classes (_node, _fp, _text) at 0.8 or more."""
+    linked = simhash_edges(texts)
     shared = shared_signatures(texts)
     known = profiles(texts, shared)
-    stars = verified(_likely(shared.where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct(), known), texts)
+    pairs = _likely(shared.where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct(), known)
+    stars = linked.unionAll(verified(_apart(pairs, connected_components(linked)), texts))
     rooted = shared.join(connected_components(stars), "node", "left").join(known, "node").select("sig", "node", "least", F.coalesce("root", "node").alias("root"), "n", "bits")
     left = rooted.repartition("sig").sortWithinPartitions("sig").mapInArrow(_across, "u long, v long").distinct()
     edges = stars.unionAll(verified(left, texts))
@@ -240,7 +266,7 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     Rows are told apart by their text, so rows that repeat an id or have none take part like any other. Columns stay.
     """
     classes = _classes(docs, id_col, text_col)
-    texts = classes.select("_node", F.col(f"_doc.`{text_col}`").cast("binary").alias("_text"))
+    texts = classes.select("_node", "_fp", F.col(f"_doc.`{text_col}`").cast("binary").alias("_text"))
     roots = connected_components(near_edges(texts))
     ranked = roots.withColumnRenamed("node", "_node").join(classes.select("_node", "_rank"), "_node")
     best = ranked.groupBy("root").agg(F.min(F.struct("_rank", "_node")).alias("best"))

@@ -31,7 +31,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.components import connected_components
-from loomtext.llm.shingle_dedup import drop_near_duplicates as drop_near_duplicates
 from loomtext.llm.spread import HOT_ROWS, spread_join
 from loomtext.llm.text import lower_words
 from loomtext.session import materialise
@@ -51,7 +50,11 @@ def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
         return 0
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(g, SEED) for g in grams], dtype="<u8")
+    return fold(np.array([digest(g, SEED) for g in grams], dtype="<u8"))
+
+
+def fold(hashes: np.ndarray) -> int:
+    """The bits that over half of the unsigned 64-bit hashes have; no hashes give zero."""
     votes = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), _PIECE):
         votes += np.unpackbits(hashes[at : at + _PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -197,3 +200,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, threshold: int =
 def near_duplicate_report(docs: DataFrame, **params: int) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits), component_id."""
     return near_duplicates(docs, **params).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``shingle_dedup.drop_near_duplicates``, which takes its first candidates from the links of this module."""
+    from loomtext.llm import shingle_dedup
+
+    return shingle_dedup.drop_near_duplicates(docs, id_col=id_col, text_col=text_col)
